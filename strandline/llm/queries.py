@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import matroska
+from . import matroska, packing
 from .common import table
 
 SQL: dict[str, str] = {}
@@ -14,6 +14,11 @@ def op8_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matroska.digest(table(spark, sf_dir, "documents"))
 
 
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.digest(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op5_best_fit_packing": op5_best_fit_packing,
     "op8_matroska": op8_matroska,
 }
