@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import matroska, packing
+from . import linecrf, matroska, packing
 from .common import table
 
 SQL: dict[str, str] = {}
@@ -14,11 +14,17 @@ def op8_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matroska.digest(table(spark, sf_dir, "documents"))
 
 
+def op4_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return linecrf.assess(docs, linecrf.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digest(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
+    "op4_line_crf": op4_line_crf,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op8_matroska": op8_matroska,
 }

@@ -97,10 +97,14 @@ class Words:
         return self.hi - self.lo
 
     def hashes(self) -> np.ndarray:
+        return self.spans([(self.start, self.end)])[0]
+
+    def spans(self, bounds: list[tuple[np.ndarray, np.ndarray]]) -> list[np.ndarray]:
+        """Hashes of the byte spans between starts and ends, for each pair of arrays."""
         p, q = _powers(len(self.buf) + 1)
         s = np.zeros(len(self.buf) + 1, np.uint64)
         np.cumsum(_BYTE[self.buf] * p[: len(self.buf)], out=s[1:])
-        return mix((s[self.end] - s[self.start]) * q[self.start] + (self.end - self.start).astype(np.uint64) * U(0xD1B54A32D192ED03))
+        return [mix((s[b] - s[a]) * q[a] + (b - a).astype(np.uint64) * U(0xD1B54A32D192ED03)) for a, b in bounds]
 
 
 def window_hashes(h: np.ndarray, n: int) -> np.ndarray:
