@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import linecrf, matroska, packing
+from . import ctw, linecrf, matroska, packing
 from .common import table
 
 SQL: dict[str, str] = {}
 
 
+def op7_context_tree_weighting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ctw.scores(table(spark, sf_dir, "documents"))
+
+
 def op8_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matroska.digest(table(spark, sf_dir, "documents"))
 
@@ -26,5 +30,6 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op4_line_crf": op4_line_crf,
     "op5_best_fit_packing": op5_best_fit_packing,
+    "op7_context_tree_weighting": op7_context_tree_weighting,
     "op8_matroska": op8_matroska,
 }
