@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ctw, linecrf, matroska, packing
+from . import ctw, linecrf, matroska, ngramjoin, packing
 from .common import table
 
 SQL: dict[str, str] = {}
@@ -27,9 +27,14 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digest(table(spark, sf_dir, "documents"))
 
 
+def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngramjoin.components(table(spark, sf_dir, "documents"), n=3, percent=90)
+
+
 QUERIES = {
     "op4_line_crf": op4_line_crf,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op7_context_tree_weighting": op7_context_tree_weighting,
     "op8_matroska": op8_matroska,
+    "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
 }
