@@ -1 +1,6 @@
 STAGES = []
+ORACLE_SQL = None
+
+
+def run(spark, sf_dir):
+    raise NotImplementedError
