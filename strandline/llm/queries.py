@@ -40,14 +40,14 @@ _WORDS = r"len(regexp_extract_all({x}, '[^\x20\x09-\x0D]+'))"
 SQL["op10_line_dedup"] = f"""
 with d as (select row_number() over () as r, doc_id, text, string_split(coalesce(text, ''), chr(10)) as ls from documents),
 u as (select distinct doc_id, text, ls from d),
-w as (select doc_id, text, ls, list_transform(ls, x -> {_WORDS.format(x="x")}) as ws from u),
+w as (select doc_id, text, ls, list_transform(ls, lambda x: {_WORDS.format(x="x")}) as ws from u),
 s as (select doc_id, text, ls, ws, unnest(range(len(ls))) as a from w),
 e as (select doc_id, text, ls, a, unnest(range(a, len(ls))) as b, ws from s),
 win as (select doc_id, text, a, b, md5(array_to_string(ls[a + 1:b + 1], chr(10))) as k, b - a as n from e where list_sum(ws[a + 1:b + 1]) >= 50),
 first as (select k, n, min(struct_pack(d := doc_id, t := text, p := a)) as f from win group by k, n),
 gone as (select distinct doc_id, text, unnest(range(a, b + 1)) as p from win join first using (k, n) where struct_pack(d := doc_id, t := text, p := a) != f),
 g as (select doc_id, text, list(p) as ps from gone group by all)
-select d.doc_id, case when g.ps is null then d.text else array_to_string(list_filter(d.ls, (x, i) -> not list_contains(g.ps, i - 1)), chr(10)) end as text,
+select d.doc_id, case when g.ps is null then d.text else array_to_string(list_filter(d.ls, lambda x, i: not list_contains(g.ps, i - 1)), chr(10)) end as text,
   cast(len(d.ls) as bigint) as n_lines, cast(coalesce(len(g.ps), 0) as bigint) as n_removed
 from d left join g on d.doc_id is not distinct from g.doc_id and d.text is not distinct from g.text
 """
