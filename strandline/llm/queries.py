@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ctw, linecrf, linededup, matroska, ngramjoin, packing
+from . import ctw, linecrf, linededup, matroska, ngramjoin, packing, secrets
 from .common import table
 
 SQL: dict[str, str] = {}
 
 
+def op6_multipart_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(table(spark, sf_dir, "documents"))
+
+
 def op7_context_tree_weighting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ctw.scores(table(spark, sf_dir, "documents"))
 
@@ -56,6 +60,7 @@ from d left join g on d.doc_id is not distinct from g.doc_id and d.text is not d
 QUERIES = {
     "op4_line_crf": op4_line_crf,
     "op5_best_fit_packing": op5_best_fit_packing,
+    "op6_multipart_secrets": op6_multipart_secrets,
     "op7_context_tree_weighting": op7_context_tree_weighting,
     "op8_matroska": op8_matroska,
     "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
