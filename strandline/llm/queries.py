@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ctw, linecrf, linededup, matroska, ngramjoin, packing, secrets
+from . import ctw, linecrf, linededup, matroska, mixing, ngramjoin, packing, preference, secrets
 from .common import table
 
 SQL: dict[str, str] = {}
@@ -22,6 +22,14 @@ def op8_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matroska.digest(table(spark, sf_dir, "documents"))
 
 
+def op1_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return preference.format_pairs(preference.swapped_pairs(table(spark, sf_dir, "conversations")))
+
+
+def op3_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.schedule(table(spark, sf_dir, "documents"))
+
+
 def op4_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return linecrf.assess(docs, linecrf.train(docs, table(spark, sf_dir, "labels")))
@@ -39,6 +47,47 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+_HEAD = "'<|im_start|>' || x.role || chr(10)"
+_BODY = "replace(replace(x.text, '<|im_start|>', '<| im_start|>'), '<|im_end|>', '<| im_end|>') || '<|im_end|>' || chr(10)"
+
+
+def _side_sql(s: str) -> str:
+    rest = f"{s}_t[n + 1:]"
+    return f"""coalesce(list_reduce(list_prepend('', list_transform({rest}, lambda x: {_HEAD} || {_BODY})), lambda a, b: a || b), '') as {s},
+  array_to_string(list_transform({rest}, lambda x: cast(length({_HEAD}) as varchar) || ':0,' || cast(length({_BODY}) as varchar) || case when x.role = 'assistant' then ':1' else ':0' end), ',') as {s}_mask,
+  cast(coalesce(list_sum(list_transform({rest}, lambda x: case when x.role = 'assistant' then length({_BODY}) else 0 end)), 0) as bigint) as {s}_train"""
+
+
+SQL["op1_preference_format"] = f"""
+with c as (select conv_id, turn, role, text from conversations),
+last as (select conv_id, max(struct_pack(a := turn, b := text)) as m from c where role = 'assistant' and conv_id is not null group by 1),
+own as (select c.*, m.a as e from c join last using (conv_id) where turn <= m.a or turn is null),
+t as (select conv_id as pair, 'chosen' as side, turn, role, text from own
+  union all select conv_id, 'rejected', turn, role, text from own where not (turn is not distinct from e and role is not distinct from 'assistant')
+  union all select l.conv_id, 'rejected', l.m.a, 'assistant', o.m.b from last l join last o on xor(l.conv_id, 1) = o.conv_id),
+g as (select pair, coalesce(list(struct_pack(role := coalesce(role, ''), text := coalesce(text, '')) order by turn nulls first, role, text) filter (side = 'chosen'), []) as chosen_t,
+  coalesce(list(struct_pack(role := coalesce(role, ''), text := coalesce(text, '')) order by turn nulls first, role, text) filter (side = 'rejected'), []) as rejected_t from t group by 1),
+n as (select *, cast(len(list_filter(range(1, least(len(chosen_t), len(rejected_t)) + 1), lambda i: chosen_t[1:i] = rejected_t[1:i])) as bigint) as n from g)
+select pair, n as n_prefix, coalesce(list_reduce(list_prepend('', list_transform(chosen_t[1:n], lambda x: {_HEAD} || {_BODY})), lambda a, b: a || b), '') as prompt,
+  {_side_sql("chosen")},
+  {_side_sql("rejected")}
+from n
+"""
+
+#: The exponent has a closed form for a limit on repetition without a budget.
+SQL["op3_temperature_mixing"] = r"""
+with r as (select doc_id, coalesce('=' || source, '') as s, source, cast(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as bigint) as n from documents),
+src as (select s, sum(n) as t from r group by 1),
+tot as (select sum(t) as total, max(t) filter (t > 0) as mx, min(t) filter (t > 0) as mn from src),
+al as (select case when mx = mn or mx / mn <= 2.0 then 0.0 else 1 - ln(2.0) / ln(mx / mn) end as a, total, mx from tot),
+e as (select s, t, case when t > 0 then round(pow(t / mx, a - 1), 6) else 1.0 end as e from src, al),
+p as (select s, t, cast(floor(e) as integer) as w, cast(floor((e - floor(e)) * t + 1e-6) as bigint) as rest, greatest(1, cast(ceil(t / 1000000) as bigint)) as blocks from e),
+x as (select doc_id, source, s, n, w, rest, blocks, unnest(range(0, w + 1)) as epoch from r join p using (s)),
+y as (select *, cast('0x' || substr(md5('0|' || epoch || '|' || coalesce(cast(doc_id as varchar), '')), 1, 12) as bigint) as place from x),
+z as (select *, sum(n) over (partition by s, epoch order by place range unbounded preceding) as cum from y)
+select doc_id, source, n as n_tokens, cast(epoch as integer) as epoch, cast(floor(place / 281474976710656.0 * blocks) as bigint) as block, place from z where epoch < w or cum <= rest
+""".replace("\\\\", "\\")
+
 _WORDS = r"len(regexp_extract_all({x}, '[^\x20\x09-\x0D]+'))"
 #: Every window of lines with enough words, by its text: lines of windows with an earlier equal go.
 SQL["op10_line_dedup"] = f"""
@@ -58,6 +107,8 @@ from d left join g on d.doc_id is not distinct from g.doc_id and d.text is not d
 
 
 QUERIES = {
+    "op1_preference_format": op1_preference_format,
+    "op3_temperature_mixing": op3_temperature_mixing,
     "op4_line_crf": op4_line_crf,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_multipart_secrets": op6_multipart_secrets,
