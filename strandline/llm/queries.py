@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ctw, linecrf, linededup, matroska, mixing, ngramjoin, packing, preference, secrets
+from . import ctw, linecrf, linededup, matroska, mixing, ngramjoin, packing, preference, secrets, warc
 from .common import table
 
 SQL: dict[str, str] = {}
@@ -26,6 +26,10 @@ def op1_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return preference.format_pairs(preference.swapped_pairs(table(spark, sf_dir, "conversations")))
 
 
+def op2_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.digest(table(spark, sf_dir, "pages"))
+
+
 def op3_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.schedule(table(spark, sf_dir, "documents"))
 
@@ -74,6 +78,15 @@ select pair, n as n_prefix, coalesce(list_reduce(list_prepend('', list_transform
 from n
 """
 
+SQL["op2_warc_index"] = """
+with p as (select page_id, encode(coalesce(html, '')) as b from pages),
+d as (select page_id, octet_length(b) as n, sha256(b) as h from p),
+f as (select h, min(page_id) as least from d where n >= 100 group by h)
+select page_id, cast(n as bigint) as payload_bytes, d.h as payload_digest, case when n >= 100 and page_id != least then 'revisit' else 'response' end as record_type,
+  case when n >= 100 and page_id != least then least end as refers_to
+from d left join f on d.h = f.h
+"""
+
 #: The exponent has a closed form for a limit on repetition without a budget.
 SQL["op3_temperature_mixing"] = r"""
 with r as (select doc_id, coalesce('=' || source, '') as s, source, cast(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as bigint) as n from documents),
@@ -108,6 +121,7 @@ from d left join g on d.doc_id is not distinct from g.doc_id and d.text is not d
 
 QUERIES = {
     "op1_preference_format": op1_preference_format,
+    "op2_warc_index": op2_warc_index,
     "op3_temperature_mixing": op3_temperature_mixing,
     "op4_line_crf": op4_line_crf,
     "op5_best_fit_packing": op5_best_fit_packing,
