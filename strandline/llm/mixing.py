@@ -119,16 +119,20 @@ def _taken(rows: DataFrame, p: DataFrame, key: str, seed: int) -> DataFrame:
     return out.where("_epoch < _whole or _place < _cut").withColumn("_block", _block(F.col("_place"), F.col("_blocks")))
 
 
+def _target(given: dict) -> dict:
+    return given if {"target_entropy", "max_epochs"} & set(given) else {**given, "max_epochs": MAX_EPOCHS}
+
+
 def schedule(df: DataFrame, key: str = "doc_id", source: str = "source", tokens: Column | None = None, seed: int = 0, **target) -> DataFrame:
     """(key, source, n_tokens, epoch, block, place): a row for each time a row is taken; epoch and place are the order of each source."""
     rows = _rows(df, key, source, count_words() if tokens is None else tokens)
-    p = plan(rows, seed=seed, **(target or {"max_epochs": MAX_EPOCHS}))
+    p = plan(rows, seed=seed, **_target(target))
     out = _taken(rows, p, "k", seed)
     return out.select(F.col("k").alias(key), F.when(F.col("s") != "", F.expr("substring(s, 2)")).alias(source), F.col("n").alias("n_tokens"), F.col("_epoch").cast("int").alias("epoch"), F.col("_block").alias("block"), F.col("_place").alias("place"))
 
 
 def mix(df: DataFrame, key: str = "doc_id", source: str = "source", tokens: Column | None = None, seed: int = 0, **target) -> DataFrame:
     """The rows of df with their columns, each as often as it is taken."""
-    p = plan(_rows(df, key, source, count_words() if tokens is None else tokens), seed=seed, **(target or {"max_epochs": MAX_EPOCHS}))
+    p = plan(_rows(df, key, source, count_words() if tokens is None else tokens), seed=seed, **_target(target))
     held = df.select(F.struct(*df.columns).alias("_row"), F.col(key).alias("_key"), _source(source).alias("s"))
     return _taken(held, p, "_key", seed).select("_row.*")
