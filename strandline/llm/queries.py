@@ -101,6 +101,15 @@ z as (select *, sum(n) over (partition by s, epoch order by place range unbounde
 select doc_id, source, n as n_tokens, cast(epoch as integer) as epoch, cast(floor(place / 281474976710656.0 * blocks) as bigint) as block, place from z where epoch < w or cum <= rest
 """.replace("\\\\", "\\")
 
+SQL["op9_ngram_jaccard_join"] = r"""
+with recursive t as (select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x != '') as w from documents),
+s as (select doc_id, list_distinct(case when len(w) = 0 then [] when len(w) < 3 then [array_to_string(w, ' ')] else list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' ')) end) as g from t),
+x as (select doc_id, unnest(g) as h, len(g) as n from s),
+l as (select a.doc_id as u, b.doc_id as v from x a join x b on a.h = b.h and a.doc_id != b.doc_id group by a.doc_id, b.doc_id, a.n, b.n having 100 * count(*) >= 90 * (a.n + b.n - count(*))),
+r as (select doc_id as u, doc_id as v from s union select r.u, l.v from r join l on r.v = l.u)
+select s.doc_id, cast(len(s.g) as bigint) as n_shingles, min(r.v) as component_id from s join r on s.doc_id = r.u group by s.doc_id, s.g
+"""
+
 _WORDS = r"len(regexp_extract_all({x}, '[^\x20\x09-\x0D]+'))"
 #: Every window of lines with enough words, by its text: lines of windows with an earlier equal go.
 SQL["op10_line_dedup"] = f"""
