@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Stored, drop
+from .common import Stored
 from .graph import components as connected
 from .textvec import U, Words, mix, pieces, shingle_sets
 
@@ -33,12 +33,18 @@ from .textvec import U, Words, mix, pieces, shingle_sets
 BUCKETS = 1 << 20
 BLOCK = 1 << 12
 WANTED = 1 << 23
-#: Cells of the suffix filter's sketch.
-CELLS = 64
+#: Longs of the suffix filter's sketch: one bit for each cell of a fixed partition of all n-grams.
+SKETCH = 8
 #: Classes of one n-gram that meet in one block of the second join.
 SHARE = 2000
 
 
+def _sketch(s: np.ndarray) -> np.ndarray:
+    """For each cell whether it holds an odd number of the set; sets that differ in d n-grams differ in d cells at most."""
+    odd = np.bincount((s >> U(55)).astype(np.int64), minlength=64 * SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _signature(s: np.ndarray) -> tuple[int, int]:
     a, b = np.bitwise_xor.reduce(mix(s)), np.add.reduce(mix(s ^ U(0xA5A5A5A5A5A5A5A5)))
     return int(a.view(np.int64)), int((b + U(len(s))).view(np.int64))
@@ -74,6 +80,29 @@ def _alpha(na, nb, percent: int):
     return -(-(percent * (na + nb)) // (100 + percent))
 
 
+def _shared(rows: DataFrame) -> DataFrame:
+    """The rows whose gram another row has too: one shuffle and a pass over each task's rows in their order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.RecordBatch | None = None  # the last row so far, if its gram is not known to be shared
+        last = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            g = b.column(0).to_numpy()
+            same = g[1:] == g[:-1]
+            keep = np.append(False, same) | np.append(same, False)
+            keep[0] |= g[0] == last
+            if held is not None and g[0] == last:
+                yield held
+            out = b.filter(pa.array(keep))
+            if out.num_rows:
+                yield out
+            held, last = (None if keep[-1] else b.slice(b.num_rows - 1)), g[-1]
+
+    return rows.repartition("gram").sortWithinPartitions("gram").mapInArrow(run, rows.schema)
+
+
 class NgramJoin:
     """The join of one table with itself; nothing is computed before it is asked for, but the sets' prefixes."""
 
@@ -92,7 +121,7 @@ class NgramJoin:
                         sa.append(x)
                         sb.append(y)
                         size.append(len(s))
-                        cells.append(np.minimum(255, np.bincount((s >> U(58)).astype(np.int64), minlength=CELLS)).astype(np.uint8).tobytes())
+                        cells.append(_sketch(s))
                         if len(s):
                             k = len(s) + (-percent * len(s)) // 100 + 1
                             order = np.argsort(level[(s & U(BUCKETS - 1)).astype(np.int64)], kind="stable")[:k]
@@ -102,16 +131,21 @@ class NgramJoin:
                             cut.append(cut[-1])
                     flat = np.concatenate(prefix).view(np.int64) if prefix else np.zeros(0, np.int64)
                     yield pa.RecordBatch.from_arrays(
-                        [b.column(0).slice(lo, hi - lo), pa.array(sa, pa.int64()), pa.array(sb, pa.int64()), pa.array(size, pa.int64()), pa.array(cells, pa.binary()), pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(flat))],
+                        [b.column(0).slice(lo, hi - lo), pa.array(sa, pa.int64()), pa.array(sb, pa.int64()), pa.array(size, pa.int64()), pa.array([c.tolist() for c in cells], pa.list_(pa.int64())), pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(flat))],
                         names=["k", "sa", "sb", "n", "cells", "prefix"],
                     )
 
         kind = df.schema[key].dataType.simpleString()
         self.kind = kind
-        self.rows = Stored(df.select(key, text).mapInArrow(run, f"k {kind}, sa long, sb long, n long, cells binary, prefix array<long>"), "sets")
-        nodes = self.rows.df.where("n > 0").groupBy("sa", "sb").agg(F.min("k").alias("k"), F.first("n").alias("n"), F.first("cells").alias("cells"), F.first("prefix").alias("prefix"))
-        self.nodes = Stored(nodes.withColumn("id", F.monotonically_increasing_id()), "classes").df
-        self.grams = self.nodes.select("id", F.col("n").alias("size"), F.posexplode("prefix").alias("pos", "gram"))
+        full = Stored(df.select(key, text).mapInArrow(run, f"k {kind}, sa long, sb long, n long, cells array<long>, prefix array<long>"), "sets")
+        self.rows = Stored(full.df.select("k", "sa", "sb", "n"), "rows").df
+        nodes = full.df.where("n > 0").groupBy("sa", "sb").agg(F.min("k").alias("k"), F.first("n").alias("n"), F.first("cells").alias("cells"), F.first("prefix").alias("prefix"))
+        nodes = Stored(nodes.withColumn("id", F.monotonically_increasing_id()), "classes")
+        full.drop()
+        self.nodes = Stored(nodes.df.drop("prefix"), "nodes").df
+        every = nodes.df.select("id", F.col("n").alias("size"), F.posexplode("prefix").alias("pos", "gram"))
+        self.grams = Stored(_shared(every.select("gram", "id", "size", "pos")), "grams").df
+        nodes.drop()
 
     def _similar(self, na: str, nb: str, pa_: str, pb: str):
         """Length and positional filter in SQL: the sets share this n-gram, and of what is rarer at most the shorter part."""
@@ -144,13 +178,13 @@ class NgramJoin:
                     if new:
                         yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in new], pa.int64()), pa.array([x[1] for x in new], pa.int64()), pa.array(out, pa.binary())], names=["sa", "sb", "members"])
 
-        sets = self.df.select(self.text).mapInArrow(run, "sa long, sb long, members binary").join(want, ["sa", "sb"])
-        return Stored(sets.groupBy("id").agg(F.first("members").alias("members")), "members").df
+        sets = self.df.select(self.text).mapInArrow(run, "sa long, sb long, members binary").groupBy("sa", "sb").agg(F.first("members").alias("members"))
+        return Stored(sets.join(want, ["sa", "sb"]).select("id", "members"), "members")
 
     def _verify(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) that are similar, each looked at once."""
-        sets = self._sets(pairs)
-        percent = self.percent
+        stored = self._sets(pairs)
+        sets, percent = stored.df, self.percent
         full = pairs.join(sets.select(F.col("id").alias("b"), F.col("members").alias("mb")), "b").join(sets.select(F.col("id").alias("a"), F.col("members").alias("ma")), "a").select("a", "b", "ma", "mb")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,13 +200,18 @@ class NgramJoin:
                         ok.append(100 * both >= percent * (len(m) - both))
                     yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-        return Stored(full.mapInArrow(run, "a long, b long"), "links").df
+        out = Stored(full.mapInArrow(run, "a long, b long"), "links").df
+        stored.drop()
+        return out
 
     def _centre_pairs(self) -> DataFrame:
         """For each prefix n-gram the pairs of its classes with that of them that has the fewest rarer n-grams."""
         centre = self.grams.groupBy("gram").agg(F.min(F.struct("pos", "size", "id")).alias("c"), F.count("*").alias("m")).where("m > 1")
         pairs = self.grams.join(centre, "gram").where("id != c.id").where(self._similar("size", "c.size", "pos", "c.pos"))
-        return pairs.select(F.least("id", "c.id").alias("a"), F.greatest("id", "c.id").alias("b")).distinct()
+        pairs = pairs.select(F.least("id", "c.id").alias("a"), F.greatest("id", "c.id").alias("b")).distinct()
+        a, b = (self.nodes.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("cells").alias(f"c{x}")) for x in "ab")
+        far = "aggregate(zip_with(ca, cb, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x)"
+        return pairs.join(a, "a").join(b, "b").where(f"(na + nb - {far}) * {100 + self.percent} >= {2 * self.percent} * (na + nb)").select("a", "b")
 
     def _open_pairs(self, roots: DataFrame | None) -> DataFrame:
         """All pairs of classes that share a prefix n-gram, pass the filters and are in different components (without roots: all)."""
@@ -196,7 +235,7 @@ class NgramJoin:
             """Pairs of one n-gram and block: those outside the centre's component with those at home here."""
             i_d, size, pos, root = (b.column(c).to_numpy() for c in ("id", "size", "pos", "root"))
             out, home = b.column("out").to_numpy(), b.column("home").to_numpy()
-            cells = np.frombuffer(b"".join(b.column("cells").to_pylist()), np.uint8).reshape(-1, CELLS).astype(np.int16)
+            cells = b.column("cells").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, SKETCH)
             x, y = np.flatnonzero(out), np.flatnonzero(home)
             found_a, found_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for i in x.tolist():
@@ -206,7 +245,7 @@ class NgramJoin:
                 keep = np.minimum(pos[j], pos[i]) + np.minimum(size[j] - pos[j], size[i] - pos[i]) >= need
                 j, need = j[keep], need[keep]
                 if len(j):
-                    far = np.abs(cells[j] - cells[i]).sum(1)
+                    far = np.bitwise_count(cells[j] ^ cells[i]).sum(1, dtype=np.int64)
                     j = j[size[j] + size[i] - far >= 2 * need]
                 found_a.append(np.minimum(i_d[i], i_d[j]))
                 found_b.append(np.maximum(i_d[i], i_d[j]))
@@ -269,12 +308,9 @@ class NgramJoin:
 
     def components(self) -> DataFrame:
         """(key, n_shingles, component_id) of each row."""
-        rows = self.rows.df.select("k", "sa", "sb", "n").join(self.classes(), ["sa", "sb"], "left")
+        rows = self.rows.select("k", "sa", "sb", "n").join(self.classes(), ["sa", "sb"], "left")
         return rows.select(F.col("k").alias(self.key), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("k")).alias("component_id"))
 
-    def drop(self) -> None:
-        drop(self.spark, self.rows.path)
-
 
 def components(df: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
     return NgramJoin(df, key, text, n, percent).components()
@@ -284,7 +320,7 @@ def dedup(df: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, pe
     """One row of each component, that with the smallest key, and all rows without words; columns as they were."""
     join = NgramJoin(df, key, text, n, percent)
     first = join.classes()
-    kept = join.rows.df.where("n > 0").join(first, ["sa", "sb"]).groupBy("root").agg(F.min(F.struct(F.col("k").isNull().alias("none"), "k", "sa", "sb")).alias("r"))
+    kept = join.rows.where("n > 0").join(first, ["sa", "sb"]).groupBy("root").agg(F.min(F.struct(F.col("k").isNull().alias("none"), "k", "sa", "sb")).alias("r"))
     kept = Stored(kept.select(F.col("r.k").alias("_k"), F.col("r.sa").alias("_sa"), F.col("r.sb").alias("_sb")), "kept").df
     names = df.columns
     at = names.index(text)
