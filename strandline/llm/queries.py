@@ -98,7 +98,7 @@ p as (select s, t, cast(floor(e) as integer) as w, cast(floor((e - floor(e)) * t
 x as (select doc_id, source, s, n, w, rest, blocks, unnest(range(0, w + 1)) as epoch from r join p using (s)),
 y as (select *, cast('0x' || substr(md5('0|' || epoch || '|' || coalesce(cast(doc_id as varchar), '')), 1, 12) as bigint) as place from x),
 z as (select *, sum(n) over (partition by s, epoch order by place range unbounded preceding) as cum from y)
-select doc_id, source, n as n_tokens, cast(epoch as integer) as epoch, cast(floor(place / 281474976710656.0 * blocks) as bigint) as block, place from z where epoch < w or cum <= rest
+select doc_id, source, n as n_tokens, cast(epoch as integer) as epoch, cast(floor(place / 281474976710656.0 * blocks) as bigint) as block, place from z where epoch < w or (rest > 0 and cum <= rest)
 """.replace("\\\\", "\\")
 
 SQL["op9_ngram_jaccard_join"] = r"""

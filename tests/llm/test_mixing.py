@@ -55,7 +55,7 @@ def test_schedule_by_brute_force(spark, monkeypatch, few):
             own = sorted((place(i, ep), i, len((t or "").split())) for i, t, x in rows if x == s and i is not None) + [(place(None, ep), None, 3)] * (s == "low")
             own.sort(key=lambda x: x[0])
             for p, i, k in own:
-                if ep < whole or sum(z for q, _, z in own if q <= p) <= rest:
+                if ep < whole or rest and sum(z for q, _, z in own if q <= p) <= rest:
                     want.append((str(i), str(s), k, ep, p))
     assert got == sorted(want)
     mixed = m.mix(df, block_tokens=9)
