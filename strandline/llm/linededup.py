@@ -107,7 +107,8 @@ def dedup_lines(df: DataFrame, key: str = "doc_id", text: str = "text", min_word
     """The rows of df with the later copies of repeated runs cut out of their text, and counts of their lines and of those removed."""
     runs = repeated_runs(df, key, text, min_words)
     names = [c for c in df.columns if c not in (lines, removed)]
-    r = runs.select(F.col("d").alias("_d"), F.col("t").alias("_t"), F.col("runs").alias("_runs"))
+    # Merged at every size: the runs grow with the table, so they are never a side to broadcast.
+    r = runs.select(F.col("d").alias("_d"), F.col("t").alias("_t"), F.col("runs").alias("_runs")).hint("merge")
     joined = df.select(*names, F.xxhash64(text_or_empty(text)).alias("_h"))
     joined = joined.join(r, joined[key].eqNullSafe(r["_d"]) & (joined["_h"] == r["_t"]), "left")
     joined = joined.withColumn("_lines", F.split(text_or_empty(text), "\n", -1))
