@@ -10,6 +10,8 @@ of them, that with the fewest rarer n-grams; then only pairs whose ends are not
 them, so no component is missed. In the second join the classes outside the centre's component meet blocks of the
 n-gram's classes, so a frequent n-gram is spread over tasks. ``links`` instead verifies all pairs of classes.
 
+All joins are merged by key at every size: no side has a bound, so none is ever broadcast.
+
 Defined cases: a text without words, empty or null, is linked with nothing; one with fewer words than n has the whole
 sequence as its one n-gram; repeated rows and equal sets are one class; a null key is no candidate for a smallest key;
 columns besides key and text are ignored here and unchanged in ``dedup``; an empty table gives no rows.
@@ -179,13 +181,13 @@ class NgramJoin:
                         yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in new], pa.int64()), pa.array([x[1] for x in new], pa.int64()), pa.array(out, pa.binary())], names=["sa", "sb", "members"])
 
         sets = self.df.select(self.text).mapInArrow(run, "sa long, sb long, members binary").groupBy("sa", "sb").agg(F.first("members").alias("members"))
-        return Stored(sets.join(want, ["sa", "sb"]).select("id", "members"), "members")
+        return Stored(sets.join(want.hint("merge"), ["sa", "sb"]).select("id", "members"), "members")
 
     def _verify(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) that are similar, each looked at once."""
         stored = self._sets(pairs)
         sets, percent = stored.df, self.percent
-        full = pairs.join(sets.select(F.col("id").alias("b"), F.col("members").alias("mb")), "b").join(sets.select(F.col("id").alias("a"), F.col("members").alias("ma")), "a").select("a", "b", "ma", "mb")
+        full = pairs.hint("merge").join(sets.select(F.col("id").alias("b"), F.col("members").alias("mb")).hint("merge"), "b").join(sets.select(F.col("id").alias("a"), F.col("members").alias("ma")).hint("merge"), "a").select("a", "b", "ma", "mb")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for big in batches:
@@ -207,11 +209,11 @@ class NgramJoin:
     def _centre_pairs(self) -> DataFrame:
         """For each prefix n-gram the pairs of its classes with that of them that has the fewest rarer n-grams."""
         centre = self.grams.groupBy("gram").agg(F.min(F.struct("pos", "size", "id")).alias("c"), F.count("*").alias("m")).where("m > 1")
-        pairs = self.grams.join(centre, "gram").where("id != c.id").where(self._similar("size", "c.size", "pos", "c.pos"))
+        pairs = self.grams.join(centre.hint("merge"), "gram").where("id != c.id").where(self._similar("size", "c.size", "pos", "c.pos"))
         pairs = pairs.select(F.least("id", "c.id").alias("a"), F.greatest("id", "c.id").alias("b")).distinct()
         a, b = (self.nodes.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("cells").alias(f"c{x}")) for x in "ab")
         far = "aggregate(zip_with(ca, cb, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x)"
-        return pairs.join(a, "a").join(b, "b").where(f"(na + nb - {far}) * {100 + self.percent} >= {2 * self.percent} * (na + nb)").select("a", "b")
+        return pairs.join(a.hint("merge"), "a").join(b.hint("merge"), "b").where(f"(na + nb - {far}) * {100 + self.percent} >= {2 * self.percent} * (na + nb)").select("a", "b")
 
     def _open_pairs(self, roots: DataFrame | None) -> DataFrame:
         """All pairs of classes that share a prefix n-gram, pass the filters and are in different components (without roots: all)."""
@@ -219,11 +221,11 @@ class NgramJoin:
         if roots is None:
             g = g.withColumn("root", F.col("id"))
         else:
-            g = g.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+            g = g.join(roots.withColumnRenamed("node", "id").hint("merge"), "id", "left").withColumn("root", F.coalesce("root", "id"))
         mixed = g.groupBy("gram").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("m"), F.min(F.struct("pos", "size", "id", "root")).alias("c")).where("r0 != r1")
         mixed = mixed.select("gram", F.col("c.root").alias("centre"), F.ceil(F.col("m") / SHARE).cast("int").alias("blocks"))
         cells = self.nodes.select("id", "cells")
-        rows = Stored(g.join(mixed, "gram"), "open").df.join(cells, "id")
+        rows = Stored(g.join(mixed.hint("merge"), "gram"), "open").df.join(cells.hint("merge"), "id")
         own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
         rows = rows.select("gram", "id", "size", "pos", "root", "cells", (F.col("root") != F.col("centre")).alias("out"), own.alias("own"), "blocks")
         rows = rows.withColumn("block", F.explode(F.when(F.col("out"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("own"))))
@@ -334,7 +336,7 @@ def dedup(df: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, pe
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields) + ", _sa long, _sb long, _none boolean"
     signed = df.mapInArrow(run, schema)
     # A row without words meets itself: its key in the join is its own.
-    one = kept.withColumn("_keep", F.lit(True))
+    one = kept.withColumn("_keep", F.lit(True)).hint("merge")
     joined = signed.join(one, (signed["_sa"] == one["_sa"]) & (signed["_sb"] == one["_sb"]) & signed[key].eqNullSafe(one["_k"]) & ~signed["_none"], "left").select(*[signed[c] for c in names], signed["_sa"], signed["_sb"], signed["_none"], "_keep")
     nth = F.row_number().over(Window.partitionBy("_sa", "_sb", key).orderBy(F.lit(1)))
     return joined.where("_none or _keep").withColumn("_nth", F.when(F.col("_none"), F.lit(1)).otherwise(nth)).where("_nth = 1").select(*names)
