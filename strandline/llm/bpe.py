@@ -9,8 +9,8 @@ from __future__ import annotations
 
 import os
 import unicodedata
+from array import array
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -21,7 +21,7 @@ SPACE, LETTER, NUMBER, OTHER, UNSURE = range(5)
 #: Endings that the pattern takes with an apostrophe, fixed by the vocabulary's pre-tokenizer.
 ENDINGS = ("s", "t", "re", "ve", "m", "ll", "d")
 #: Pre-tokens kept by a worker; beyond it the store starts anew.
-KEPT = 600_000
+KEPT = 500_000
 
 
 def default_path() -> str:
@@ -44,6 +44,13 @@ def _classes() -> np.ndarray:
     return out
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letter that the vocabulary writes for each byte: itself if it can be seen, else one of those from 256 on, in turn."""
+    seen = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = iter(range(256, 512))
+    return {b: chr(b if b in seen else next(rest)) for b in range(256)}
+
+
 class Encoder:
     """``encode(texts)`` gives all ids in a row and each text's number of ids."""
 
@@ -56,11 +63,17 @@ class Encoder:
         self.whole.encode_special_tokens = True
         self.classes = _classes()
         self.values = mix(np.arange(1, 0x10001, dtype=np.uint64))
-        self.seen: dict[int, list[int]] = {}
+        self.model = self.whole.model
+        self.letters = _byte_letters()
+        self.seen: dict[int, bytes] = {}
 
     def _slow(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.whole.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
 
+    def _piece(self, piece: str) -> bytes:
+        """The ids of one pre-token, as 32-bit numbers."""
+        return array("i", [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))]).tobytes()
+
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         counts = np.zeros(len(texts), np.int64)
         cps = [np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32) for t in texts]
@@ -126,10 +139,11 @@ class Encoder:
         new = [i for i, k in enumerate(keys) if k not in seen]
         if new:
             a, b = start[where[new]].tolist(), end[where[new]].tolist()
-            seen.update(zip([keys[i] for i in new], self._slow([text[x:y] for x, y in zip(a, b)])))
+            for i, x, y in zip(new, a, b):
+                seen[keys[i]] = self._piece(text[x:y])
         rows = [seen[k] for k in keys]
-        size = np.fromiter(map(len, rows), np.int64, len(rows))
-        flat = np.fromiter(chain.from_iterable(rows), np.int32, int(size.sum()))
+        size = np.fromiter(map(len, rows), np.int64, len(rows)) // 4
+        flat = np.frombuffer(b"".join(rows), np.int32)
         begin = np.cumsum(size) - size
         each = size[code]
         stop = np.cumsum(each)
@@ -138,7 +152,7 @@ class Encoder:
         return ids, np.diff(before)
 
 
-def chunks(texts: list[str], limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
+def chunks(texts: list[str], limit: int = 1 << 19) -> Iterator[tuple[int, int]]:
     """Ranges of texts with about ``limit`` characters."""
     lo = total = 0
     for i, t in enumerate(texts):

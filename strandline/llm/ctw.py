@@ -205,7 +205,7 @@ def word_counts(df: DataFrame, text: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for _, _, buf, offs in pieces(b.column(0), 1 << 23):
+            for _, _, buf, offs in pieces(b.column(0), 1 << 21):
                 code, keys = pd.factorize(Words(buf, offs).hashes())
                 yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(np.bincount(code, minlength=len(keys)).astype(np.int64))], names=["h", "n"])
 

@@ -13,7 +13,7 @@ import pyarrow as pa
 
 U = np.uint64
 #: Bytes of text handled at once; a longer text is handled alone, whole.
-CHUNK = 1 << 21
+CHUNK = 1 << 19
 
 _MASK = (1 << 64) - 1
 _BASE = 0x9E3779B97F4A7C15 | 1
