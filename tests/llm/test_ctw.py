@@ -88,3 +88,46 @@ def test_words_by_definition(spark, hot):
         assert r.base_score == pytest.approx(sum(math.log10((c[x] + 0.5) / (total + 0.5 * (len(c) + 1))) for x in tokens))
         assert r.score < 0
     assert ctw.scores(df.limit(0)).count() == 0
+
+
+def deep(train, text, depth):
+    """log10 P(text) after train over real bytes, from ratios of weighted block probabilities of the explicit tree."""
+
+    def events(t):
+        hist = b" " * depth
+        for x in [*t.encode(), 255]:
+            p = 1
+            for i in range(7, -1, -1):
+                yield p, hist[::-1][:depth], x >> i & 1
+                p = 2 * p + (x >> i & 1)
+            hist = (hist + bytes([x]))[-depth:]
+
+    seen = {}
+    for p, ctx, bit in (e for t in train for e in events(t)):
+        seen.setdefault(p, Counter())[ctx, bit] += 1
+
+    def weighted(counts, d):
+        n = [sum(v for (_, bit), v in counts.items() if bit == x) for x in (0, 1)]
+        kt = math.lgamma(n[0] + 0.5) + math.lgamma(n[1] + 0.5) - 2 * math.lgamma(0.5) - math.lgamma(sum(n) + 1)
+        if not counts or d == depth:
+            return kt
+        below = sum(weighted({k: v for k, v in counts.items() if k[0][d] == c}, d + 1) for c in {k[0][d] for k in counts})
+        return float(np.logaddexp(kt, below)) - math.log(2)
+
+    total = 0.0
+    for p, ctx, bit in events(text):
+        old = dict(seen.get(p, {}))
+        total += weighted(old | {(ctx, bit): old.get((ctx, bit), 0) + 1}, 0) - weighted(old, 0)
+    return total / math.log(10)
+
+
+@pytest.mark.parametrize("size", [40, 1 << 20])
+def test_deep_tree_in_ranges(spark, monkeypatch, size):
+    monkeypatch.setattr(ctw, "STEP", 3)
+    texts = ["abracadabra 17 27", "Abra, cadabra\n", "señor été", "мама мыла раму", "", None, "1234567 x 9234568 y", "été 12 años"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.score for r in ctw.scores(df, held="doc_id % 3 = 1", size=size).collect()}
+    train = [t or "" for i, t in enumerate(texts) if i % 3 != 1]
+    assert len(got) == len(texts)
+    for i, t in enumerate(texts):
+        assert got[i] == pytest.approx(deep(train, t or "", ctw.DEPTH), rel=1e-5)
