@@ -25,7 +25,7 @@ import hashlib
 import io
 import uuid
 import zlib
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from urllib.parse import urlsplit
 
@@ -205,7 +205,7 @@ class Captures:
                 q, s = [], []
                 for k in b.column(0).to_pylist():
                     low, high = f"{k}{SEP}".encode(), f"{k}{SEP}\x7f".encode()
-                    i = max(0, bisect_right(firsts, low) - 1)
+                    i = max(0, bisect_left(firsts, low) - 1)  # several shards may begin with the key
                     while i < len(firsts) and firsts[i] <= high:
                         if lasts[i] >= low:
                             q.append(k)

@@ -49,3 +49,18 @@ def test_archive_index_and_read(spark):
         f.seek(place.offset)
         assert gzip.decompress(f.read(place.length)).startswith(b"WARC/1.1")
     assert m.digest(df.limit(0)).count() == 0
+
+
+def test_null_ids_of_one_url_over_several_shards(spark):
+    conf = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "6"}
+    old = {k: spark.conf.get(k) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        rows = [(None, "http://hot.com/", f"p{i}") for i in range(600)] + [(i, f"http://s{i}.org/", "q") for i in range(20)] + [(7, "http://hot.com/", "r")]
+        c = m.Captures(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2), lines=7)
+        assert c.directory.where("first = last").select("shard").distinct().count() > 2
+        assert c.lookup(spark.createDataFrame([("http://hot.com/",)], "url string")).count() == 601
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
