@@ -128,7 +128,10 @@ class Encoder:
         start, end = cut[:-1], cut[1:]
         p, q = _powers(n + 1)
         s = np.zeros(n + 1, np.uint64)
-        np.cumsum(self.values[cp & 0xFFFF] * p[:n], out=s[1:])
+        v = self.values[cp & 0xFFFF]
+        high = np.flatnonzero(cp > 0xFFFF)
+        v[high] = mix(cp[high].astype(np.uint64) + U(1))
+        np.cumsum(v * p[:n], out=s[1:])
         h = mix((s[end] - s[start]) * q[start] + (end - start).astype(np.uint64) * U(0xD1B54A32D192ED03))
         code, keys = pd.factorize(h)
         where = np.zeros(len(keys), np.int64)

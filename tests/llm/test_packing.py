@@ -104,3 +104,11 @@ def test_table(spark):
             at += n
         assert at <= 1024
     assert packing.digest(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("first, then", [("\U00029e3d", "鸽"), (" \U00020041", " A")])
+def test_characters_beyond_the_basic_plane_keep_their_own_ids(first, then):
+    e = Encoder()
+    for texts in ([first], [then], [first, then], [then, first]):
+        ids, n = e.encode(texts)
+        assert ids.tolist() == [i for t in texts for i in e.whole.encode(t, add_special_tokens=False).ids] and n.sum() == len(ids)
