@@ -112,11 +112,32 @@ def read_fastq_streamed(spark: SparkSession, paths: list[str], rows: int = 20_00
 
 
 def read_sequences(spark: SparkSession, path: str, format: str = "auto") -> DataFrame:
-    """Reads either format; 'auto' looks at the first byte. Gzip goes by the suffix .gz."""
+    """Reads either format; 'auto' looks at the first byte. Gzip goes by the suffix .gz.
+
+    FASTQ files may have any size where pyarrow can open their store; where only Spark can, ``read_fastq``'s bound holds.
+    """
     kind = detect_format(spark, path) if format == "auto" else format
     if kind not in ("fasta", "fastq"):
         raise ValueError(f"format must be auto, fasta or fastq, not {format!r}")
-    return read_fasta(spark, path) if kind == "fasta" else read_fastq(spark, path)
+    if kind == "fasta":
+        return read_fasta(spark, path)
+    files = spark.read.text(path).inputFiles()
+    if not files or not all(_streams(f) for f in files):
+        return read_fastq(spark, path)
+    return read_fastq_streamed(spark, [f.replace(",", "%2C") for f in files])
+
+
+def _streams(file: str) -> bool:
+    """Whether pyarrow opens the file's store, and no codec but gzip is on it; else only Spark can read it."""
+    from pyarrow import fs
+
+    if file.endswith((".bz2", ".deflate", ".lz4", ".snappy", ".zst")):
+        return False
+    try:
+        system, name = fs.FileSystem.from_uri(file)
+        return system.get_file_info(name).is_file
+    except Exception:  # a scheme or a store that it doesn't know
+        return False
 
 
 #: Letters to bases, for text that is to stand for DNA: A, C, G, T in turn over the alphabet.

@@ -215,3 +215,14 @@ def test_sizing():
     assert sizing.estimate_unique(10**8, 21) == 108_000_000 and sizing.estimate_unique(10**8, 40, True, True) == 120_000_000
     assert sizing.table_capacity(1_000_000) == 1 << 21 and sizing.table_capacity(1) == 1024
     assert sizing.shuffle_partitions(10**9, 21) > sizing.shuffle_partitions(10**6, 21) == 1
+
+
+def test_read_sequences_streams_fastq(spark, tmp_path, monkeypatch):
+    d = tmp_path / "a, b"
+    d.mkdir()
+    (d / "x.fq").write_text("@r1\nACGT\n+\nIIII\njunk\n@r2 é\nGGA\n+\n@@@\n")
+    (d / "y.fq.gz").write_bytes(gzip.compress(b"@r3\nTT\n+\nII"))
+    want = sorted((r.file, r.header, r.seq) for r in S.read_fastq(spark, str(d)).collect())
+    monkeypatch.setattr(S, "read_fastq", None)  # holds a file as one row
+    assert sorted((r.file, r.header, r.seq) for r in S.read_sequences(spark, str(d)).collect()) == want
+    assert want and sum(r["count"] for r in count_file(spark, str(d / "x.fq"), 2).collect()) == 5
