@@ -1,8 +1,8 @@
 """Byte-level BPE ids of whole texts, an Arrow batch at a time.
 
 The pre-tokens of a chunk of texts are found and hashed with numpy; only pre-tokens that this worker has not seen
-lately reach the tokenizer. Texts with characters whose class differs between Unicode versions go to the tokenizer
-whole. The ids equal ``Tokenizer.encode(text, add_special_tokens=False)`` with special strings read as ordinary text.
+lately reach the tokenizer. Texts with characters whose class differs between Unicode versions, or with the literal of
+an added token, go to the tokenizer whole. The ids equal ``Tokenizer.encode(text, add_special_tokens=False)``.
 """
 
 from __future__ import annotations
@@ -60,7 +60,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path or default_path())
-        self.whole.encode_special_tokens = True
+        self.added = [t.content for t in self.whole.get_added_tokens_decoder().values()]
         self.classes = _classes()
         self.values = mix(np.arange(1, 0x10001, dtype=np.uint64))
         self.model = self.whole.model
@@ -85,8 +85,13 @@ class Encoder:
         cls[~low] = UNSURE
         bad = np.zeros(len(cp) + 1, np.int64)
         np.cumsum(cls == UNSURE, out=bad[1:])
-        odd = np.flatnonzero(bad[offs[1:]] - bad[offs[:-1]])
-        ids, token_counts = self._fast("".join(texts), cp, cls, offs)
+        odd = bad[offs[1:]] > bad[offs[:-1]]
+        text = "".join(texts)
+        for a in self.added:
+            if a in text:
+                odd |= np.fromiter((a in t for t in texts), bool, len(texts))
+        odd = np.flatnonzero(odd)
+        ids, token_counts = self._fast(text, cp, cls, offs)
         counts[:] = token_counts
         if len(odd):
             at = np.concatenate([[0], np.cumsum(counts)])

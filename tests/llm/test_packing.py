@@ -112,3 +112,15 @@ def test_characters_beyond_the_basic_plane_keep_their_own_ids(first, then):
     for texts in ([first], [then], [first, then], [then, first]):
         ids, n = e.encode(texts)
         assert ids.tolist() == [i for t in texts for i in e.whole.encode(t, add_special_tokens=False).ids] and n.sum() == len(ids)
+
+
+def test_added_tokens_as_a_plain_tokenizer_reads_them():
+    from tokenizers import Tokenizer
+
+    from strandline.llm.bpe import default_path
+
+    plain = Tokenizer.from_file(default_path())
+    texts = ["a b", "x<|endoftext|> y", "<|endoftext|>", "<|endoftext", "|> c"]
+    ids, n = Encoder().encode(texts)
+    want = [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    assert ids.tolist() == sum(want, []) and n.tolist() == [len(w) for w in want] and want[2] == [50256]
