@@ -21,11 +21,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A folder of this session below ``spark.checkpoint.dir``; a local one only where that setting is absent."""
+    """A folder of this session below ``spark.checkpoint.dir``; a local one only where that is unset and the master is local."""
     app = spark.sparkContext.applicationId
     if app not in _roots:
         base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
         if not base:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             base = "file://" + tempfile.mkdtemp(prefix="strandline-")
         _roots[app] = f"{base.rstrip('/')}/strandline-{uuid.uuid4().hex[:12]}"
         atexit.register(_forget, spark, _roots[app])
@@ -58,5 +60,16 @@ class Stored:
         drop(self.spark, self.path)
 
 
+def spare(columns: list[str], *names: str) -> list[str]:
+    """The names, each with underscores in front until no column has it, whatever its case."""
+    used, out = {c.lower() for c in columns}, []
+    for n in names:
+        while n.lower() in used:
+            n = "_" + n
+        used.add(n.lower())
+        out.append(n)
+    return out
+
+
 def text_or_empty(col: str = "text"):
     return F.coalesce(F.col(col), F.lit(""))

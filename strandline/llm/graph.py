@@ -21,12 +21,12 @@ def components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
         # Large star: larger neighbours go to the smallest neighbour.
         both = e.df.select("u", "v").union(e.df.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
+        large = both.where("v > u").hint("merge").join(least.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
         # Small star: smaller neighbours, and the node itself, go to the smallest of them.
         down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         down = Stored(down, "large")
         least = down.df.groupBy("u").agg(F.min("v").alias("m"))
-        small = down.df.join(least, "u").select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v")).where("u != v").distinct()
+        small = down.df.hint("merge").join(least.hint("merge"), "u").select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v")).where("u != v").distinct()
         new = Stored(small, "edges")
         down.drop()
         e.drop()

@@ -1,6 +1,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
 from strandline.llm import graph, ngramjoin
@@ -92,3 +93,37 @@ def test_graph(spark, seed):
         root[y] = x
     got = {x.node: x.root for x in graph.components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got == {x: find(x) for e in edges if e[0] != e[1] for x in e}
+
+
+def test_least_difference_bounds():
+    r = np.random.default_rng(5)
+    for n, m, common in ((0, 0, 0), (1, 40, 1), (300, 320, 300), (5000, 4700, 4690), (9000, 9000, 0), (70_000, 400, 400)):
+        both = r.integers(0, 1 << 63, common, dtype=np.uint64)
+        a = np.unique(np.concatenate([both, r.integers(0, 1 << 63, n - common, dtype=np.uint64)]))
+        b = np.unique(np.concatenate([both, r.integers(0, 1 << 63, m - common, dtype=np.uint64)]))
+        true = len(np.setxor1d(a, b))
+        low = ngramjoin.least_difference(ngramjoin._parities(a), ngramjoin._parities(b))
+        assert low <= true and (low - true) % 2 == 0
+        assert low == ngramjoin.least_difference(ngramjoin._parities(b), ngramjoin._parities(a))
+        if n == m == 9000:
+            assert low > 0.3 * n  # unrelated long sets are told apart, at any length
+        if (n, m) == (5000, 4700):
+            assert low > 0.9 * true
+
+
+def test_many_rounds_and_long_texts(spark, monkeypatch):
+    monkeypatch.setattr(ngramjoin, "ROUND", 3)
+    r = random.Random(9)
+    base = [f"w{r.randrange(3000)}" for _ in range(30_000)]
+    near = base[:]
+    near[77] = "other"
+    rows = [(i, " ".join(base if i % 2 else near)) for i in range(4)] + [(4, " ".join(base[:15_000])), (5, None), (6, ""), (7, " \n"), (8, "one"), (9, "ONE"), (None, "one")]
+    for i in range(10, 30):
+        t = [f"v{r.randrange(50)}" for _ in range(60)]
+        rows += [(i, " ".join(t)), (i + 100, " ".join(t[:-1]))]
+    df = spark.createDataFrame([(k, t, 1, 2, 3) for k, t in rows], "doc_id long, text string, root int, _k int, _SA int")
+    got = {x.doc_id: x.component_id for x in ngramjoin.components(df, n=3, percent=90).collect()}
+    assert [got[i] for i in (0, 1, 2, 3, 4, 5, 6, 7, 8, 9, None)] == [0, 0, 0, 0, 4, 5, 6, 7, 8, 8, 8]
+    assert all(got[i + 100] == i for i in range(10, 30))
+    kept = sorted(x.doc_id for x in ngramjoin.dedup(df, n=3, percent=90).collect())
+    assert kept == [0, 4, 5, 6, 7, 8, *range(10, 30)]
