@@ -12,7 +12,7 @@ end a turn; equal turns repeated in the input stay repeated; other columns are i
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 START, END = "<|im_start|>", "<|im_end|>"
@@ -41,11 +41,14 @@ def _trained(turns: Column) -> Column:
     return F.aggregate(turns, F.lit(0).cast("long"), lambda s, x: s + F.when(x["role"] == "assistant", F.length(_body(x))).otherwise(0))
 
 
-def format_pairs(turns: DataFrame, pair: str = "pair") -> DataFrame:
-    """(pair, n_prefix, prompt, and for each side its completion, mask and number of training characters)."""
+def format_pairs(turns: DataFrame, pair: str = "pair", dealt: tuple[str, ...] = ()) -> DataFrame:
+    """(pair, n_prefix, prompt, and for each side its completion, mask and number of training characters).
+
+    ``dealt`` names columns, the same for all turns of a pair, by which rows are dealt to tasks already: then they stay there.
+    """
     turn = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     sides = [F.sort_array(F.collect_list(F.when(F.col("side") == s, turn))).alias(s) for s in SIDES]
-    both = turns.where(F.col(pair).isNotNull() & F.col("side").isin(*SIDES)).groupBy(pair).agg(*sides)
+    both = turns.where(F.col(pair).isNotNull() & F.col("side").isin(*SIDES)).groupBy(*dealt, pair).agg(*sides)
     short = F.least(F.size("chosen"), F.size("rejected"))
     same = F.zip_with(F.slice("chosen", F.lit(1), short), F.slice("rejected", F.lit(1), short), lambda a, b: (a["role"] == b["role"]) & (a["text"] == b["text"]))
     differ = F.array_position(same, F.lit(False))
@@ -58,15 +61,20 @@ def format_pairs(turns: DataFrame, pair: str = "pair") -> DataFrame:
 
 
 def swapped_pairs(conversations: DataFrame) -> DataFrame:
-    """Turns of pairs, one pair per conversation with an assistant turn: chosen as it is up to its last reply, rejected with
-    the last reply of the neighbour (conv_id with its lowest bit flipped) in place of its own, if the neighbour has one."""
-    c = conversations.select("conv_id", "turn", "role", "text")
-    last = c.where("role = 'assistant' and conv_id is not null").groupBy("conv_id").agg(F.max(F.struct("turn", "text")).alias("reply"))
-    own = c.join(last.select("conv_id", F.col("reply.turn").alias("end")), "conv_id").where("turn <=> end or turn < end or turn is null")
-    kept = own.where("not (turn <=> end and role <=> 'assistant')")
-    chosen = own.select(F.col("conv_id").alias("pair"), F.lit("chosen").alias("side"), "turn", "role", "text")
-    prompt = kept.select(F.col("conv_id").alias("pair"), F.lit("rejected").alias("side"), "turn", "role", "text")
-    other = last.select(F.col("conv_id").bitwiseXOR(F.lit(1)).alias("pair"), F.col("reply.text").alias("text"))
-    other = other.join(last.select(F.col("conv_id").alias("pair"), F.col("reply.turn").alias("turn")), "pair")
-    reply = other.select("pair", F.lit("rejected").alias("side"), "turn", F.lit("assistant").alias("role"), "text")
-    return chosen.unionByName(prompt).unionByName(reply)
+    """Turns of pairs (with ``dealt``), one pair per conversation, all its turns on both sides: chosen as it is, rejected with
+    the last reply of the neighbour (conv_id with its lowest bit flipped) as the text of its own last reply.
+
+    The last reply is the assistant's turn with the greatest (turn, text); turns equal to it are all replaced. Where either
+    conversation has no reply there is nothing to prefer: the sides are equal, and all of it is prompt. Rows without a
+    conv_id are left out. Neighbours are dealt to one task, so a single shuffle serves both steps.
+    """
+    c = conversations.where(F.col("conv_id").isNotNull()).select("conv_id", "turn", "role", "text", F.shiftright("conv_id", 1).alias("dealt"))
+    odd, reply = F.col("conv_id").bitwiseAND(F.lit(1)) == 1, F.col("role") == "assistant"
+    both = Window.partitionBy("dealt")
+    last = [F.max(F.when(reply & is_own, F.struct("turn", "text"))).over(both) for is_own in (~odd, odd)]
+    c = c.select("*", last[0].alias("even"), last[1].alias("odd"))
+    own, other = F.when(odd, F.col("odd")).otherwise(F.col("even")), F.when(odd, F.col("even")).otherwise(F.col("odd"))
+    c = c.select("conv_id", "turn", "role", "text", "dealt", own.alias("own"), other.alias("other"))
+    swap = reply & F.col("own").isNotNull() & F.col("other").isNotNull() & F.col("turn").eqNullSafe(F.col("own.turn")) & F.col("text").eqNullSafe(F.col("own.text"))
+    sides = F.array(F.struct(F.lit("chosen").alias("side"), F.col("text").alias("text")), F.struct(F.lit("rejected").alias("side"), F.when(swap, F.col("other.text")).otherwise(F.col("text")).alias("text")))
+    return c.select(F.col("conv_id").alias("pair"), "dealt", "turn", "role", F.explode(sides).alias("s")).select("pair", "dealt", "turn", "role", "s.side", "s.text")

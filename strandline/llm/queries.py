@@ -23,7 +23,7 @@ def op8_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return preference.format_pairs(preference.swapped_pairs(table(spark, sf_dir, "conversations")))
+    return preference.format_pairs(preference.swapped_pairs(table(spark, sf_dir, "conversations")), dealt=("dealt",))
 
 
 def op2_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,12 +63,11 @@ def _side_sql(s: str) -> str:
 
 
 SQL["op1_preference_format"] = f"""
-with c as (select conv_id, turn, role, text from conversations),
-last as (select conv_id, max(struct_pack(a := turn, b := text)) as m from c where role = 'assistant' and conv_id is not null group by 1),
-own as (select c.*, m.a as e from c join last using (conv_id) where turn <= m.a or turn is null),
-t as (select conv_id as pair, 'chosen' as side, turn, role, text from own
-  union all select conv_id, 'rejected', turn, role, text from own where not (turn is not distinct from e and role is not distinct from 'assistant')
-  union all select l.conv_id, 'rejected', l.m.a, 'assistant', o.m.b from last l join last o on xor(l.conv_id, 1) = o.conv_id),
+with c as (select conv_id, turn, role, text from conversations where conv_id is not null),
+last as (select conv_id, max(struct_pack(a := turn, b := text)) as m from c where role = 'assistant' group by 1),
+t as (select conv_id as pair, 'chosen' as side, turn, role, text from c
+  union all select c.conv_id, 'rejected', turn, role, case when role = 'assistant' and o.conv_id is not null and turn is not distinct from l.m.a and text is not distinct from l.m.b then o.m.b else text end
+  from c left join last l on c.conv_id = l.conv_id left join last o on xor(c.conv_id, 1) = o.conv_id),
 g as (select pair, coalesce(list(struct_pack(role := coalesce(role, ''), text := coalesce(text, '')) order by turn nulls first, role, text) filter (side = 'chosen'), []) as chosen_t,
   coalesce(list(struct_pack(role := coalesce(role, ''), text := coalesce(text, '')) order by turn nulls first, role, text) filter (side = 'rejected'), []) as rejected_t from t group by 1),
 n as (select *, cast(len(list_filter(range(1, least(len(chosen_t), len(rejected_t)) + 1), lambda i: chosen_t[1:i] = rejected_t[1:i])) as bigint) as n from g)

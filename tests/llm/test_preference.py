@@ -39,7 +39,39 @@ def test_by_definition(spark):
 
 
 def test_swapped(spark):
-    rows = [(0, 0, "user", "a"), (0, 1, "assistant", "b"), (1, 0, "user", "c"), (1, 1, "assistant", "d"), (1, 2, "user", "e"), (2, 0, "user", "f"), (4, 0, "assistant", "g"), (None, 0, "assistant", "h")]
-    got = {x.pair: x for x in m.format_pairs(m.swapped_pairs(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))).collect()}
-    assert set(got) == {0, 1, 4} and got[0].n_prefix == got[1].n_prefix == 1
-    assert "b" in got[0].chosen and "d" in got[0].rejected and "e" not in got[1].chosen and got[4].rejected == ""
+    rows = [(0, 0, "user", "Q0"), (0, 1, "assistant", "A0"), (1, 0, "user", "Q1"), (1, 1, "assistant", "A1"), (1, 2, "user", "Q2"), (2, 0, "user", "Q3"), (4, 0, "assistant", "A4"), (None, 0, "assistant", "A5"),
+            (6, 0, "user", None), (6, 1, "assistant", "A6"), (6, 1, "assistant", "A6"), (6, 1, "assistant", ""), (7, None, "assistant", None), (-1, 0, "assistant", "A8"), (-2, 0, "assistant", "A9")]
+    df = spark.createDataFrame([(*x, 1, "x") for x in rows], "conv_id long, turn long, role string, text string, dealt int, even string")
+    found = m.format_pairs(m.swapped_pairs(df), dealt=("dealt",)).collect()
+    got = {x.pair: x for x in found}
+    assert len(found) == len(got) and set(got) == {0, 1, 2, 4, 6, 7, -1, -2} and got[0].n_prefix == got[1].n_prefix == 1
+    assert "A0" in got[0].chosen and "A1" in got[0].rejected and "A0" not in got[0].rejected and "Q0" in got[0].prompt
+    assert "Q2" in got[1].chosen and "Q2" in got[1].rejected and got[1].chosen_train == len("A1<|im_end|>\n")
+    # No reply on either side: all is prompt.
+    assert "Q3" in got[2].prompt and got[2].chosen == got[2].rejected == "" and "A4" in got[4].prompt and got[4].rejected_train == 0
+    assert got[6].chosen.count("A6") == 2 and "A6" not in got[6].rejected and "A6" in got[7].rejected and got[7].rejected_train == len("A6<|im_end|>\n")
+    assert "A9" in got[-1].rejected and "A8" in got[-2].rejected
+    assert all((x.chosen == "") == (x.rejected == "") for x in found)
+    assert m.format_pairs(m.swapped_pairs(df.limit(0))).count() == 0
+
+
+def test_registered_sql(spark):
+    import duckdb
+
+    from strandline.llm import queries
+
+    folder = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    con.sql(f"create view conversations as select * from '{folder}/conversations.parquet'")
+    want = con.sql(queries.SQL["op1_preference_format"])
+    names = sorted(want.columns)
+    got = queries.QUERIES["op1_preference_format"](spark, folder)
+    assert sorted(got.columns) == names
+    assert sorted(map(tuple, got.select(*names).collect())) == sorted(want.project(", ".join(names)).fetchall())
+
+
+def test_long_conversation(spark):
+    """One conversation with many long turns."""
+    rows = [(0, i, "assistant" if i % 2 else "user", f"{i} " + "x" * 2000) for i in range(3000)] + [(1, 0, "assistant", "END")]
+    got = {x.pair: x for x in m.format_pairs(m.swapped_pairs(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")), dealt=("dealt",)).collect()}
+    assert got[0].n_prefix == 2999 and "END" in got[0].rejected and got[0].prompt.count("<|im_end|>") == 2999
