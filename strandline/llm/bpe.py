@@ -75,24 +75,20 @@ class Encoder:
         return array("i", [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))]).tobytes()
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        counts = np.zeros(len(texts), np.int64)
-        cps = [np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32) for t in texts]
-        sizes = np.array([len(c) for c in cps], np.int64)
-        cp = np.concatenate(cps) if cps else np.zeros(0, np.uint32)
-        offs = np.concatenate([[0], np.cumsum(sizes)])
-        low = cp < 0x10000
-        cls = self.classes[np.where(low, cp, 0)]
-        cls[~low] = UNSURE
-        bad = np.zeros(len(cp) + 1, np.int64)
-        np.cumsum(cls == UNSURE, out=bad[1:])
-        odd = bad[offs[1:]] > bad[offs[:-1]]
         text = "".join(texts)
+        offs = np.zeros(len(texts) + 1, np.int64)
+        np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)), out=offs[1:])
+        cp = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        high = np.flatnonzero(cp > 0xFFFF)
+        cls = self.classes[cp & 0xFFFF if len(high) else cp]
+        cls[high] = UNSURE
+        odd = np.zeros(len(texts), bool)
+        odd[np.searchsorted(offs, np.flatnonzero(cls == UNSURE), "right") - 1] = True
         for a in self.added:
             if a in text:
                 odd |= np.fromiter((a in t for t in texts), bool, len(texts))
         odd = np.flatnonzero(odd)
-        ids, token_counts = self._fast(text, cp, cls, offs)
-        counts[:] = token_counts
+        ids, counts = self._fast(text, cp, cls, offs, high)
         if len(odd):
             at = np.concatenate([[0], np.cumsum(counts)])
             parts, last = [], 0
@@ -102,7 +98,7 @@ class Encoder:
             ids = np.concatenate([*parts, ids[last:]])
         return ids, counts
 
-    def _fast(self, text: str, cp: np.ndarray, cls: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _fast(self, text: str, cp: np.ndarray, cls: np.ndarray, offs: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         n = len(cp)
         if not n:
             return np.zeros(0, np.int32), np.zeros(len(offs) - 1, np.int64)
@@ -119,22 +115,21 @@ class Encoder:
         at = np.flatnonzero(last)
         first[at] = True
         first[at[cp[at] == 0x20] + 1] = False
-        # An apostrophe that begins a pre-token takes an ending with it.
-        for i in np.flatnonzero((cp == 0x27) & first[:-1]).tolist():
-            stop = int(offs[np.searchsorted(offs, i, "right")])
-            if not first[i + 1] or i + 1 >= stop:
-                continue
+        # An apostrophe that begins a pre-token takes an ending with it, if the text goes on so far.
+        at = np.flatnonzero(cp == 0x27)
+        at = at[first[at] & first[at + 1] & ~edge[at + 1]]
+        if len(at):
             for e in ENDINGS:
-                if text.startswith(e, i + 1) and i + 1 + len(e) <= stop:
-                    first[i + 1] = False
-                    first[i + 1 + len(e)] = True
-                    break
+                i = at[~edge[np.minimum(at + len(e), n)] & (at + len(e) < n)] if len(e) > 1 else at
+                for k, c in enumerate(e):
+                    i = i[cp[i + 1 + k] == ord(c)]
+                first[i + 1] = False
+                first[i + 1 + len(e)] = True
         cut = np.flatnonzero(first)
         start, end = cut[:-1], cut[1:]
         p, q = _powers(n + 1)
         s = np.zeros(n + 1, np.uint64)
-        v = self.values[cp & 0xFFFF]
-        high = np.flatnonzero(cp > 0xFFFF)
+        v = self.values[cp & 0xFFFF if len(high) else cp]
         v[high] = mix(cp[high].astype(np.uint64) + U(1))
         np.cumsum(v * p[:n], out=s[1:])
         h = mix((s[end] - s[start]) * q[start] + (end - start).astype(np.uint64) * U(0xD1B54A32D192ED03))
@@ -160,6 +155,16 @@ class Encoder:
         return ids, np.diff(before)
 
 
+_encoders: dict[str | None, Encoder] = {}
+
+
+def encoder(path: str | None = None) -> Encoder:
+    """This worker's encoder for the vocabulary; the tasks that a worker runs in turn share its store."""
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
+
+
 def chunks(texts: list[str], limit: int = 1 << 19) -> Iterator[tuple[int, int]]:
     """Ranges of texts with about ``limit`` characters."""
     lo = total = 0

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bpe import Encoder, chunks
+from .bpe import chunks, encoder
 from .common import Stored
 
 CAPACITY = 1024
@@ -177,11 +177,19 @@ class Layout:
         return seq, off
 
 
-def pieces(df: DataFrame, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY, end_id: int = END_ID, path: str | None = None) -> DataFrame:
-    """(key, piece, start, length, ids, task, nth): the token pieces of each text, and the how-many-eth of its length it is in its task."""
+def _crcs(ids: np.ndarray, offs: np.ndarray) -> pa.Array:
+    data = memoryview(ids.astype("<u4")).cast("B")
+    return pa.array([zlib.crc32(data[4 * x : 4 * y]) for x, y in zip(offs[:-1].tolist(), offs[1:].tolist())], pa.int64())
+
+
+def pieces(df: DataFrame, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY, end_id: int = END_ID, path: str | None = None, crc: bool = False) -> DataFrame:
+    """(key, piece, start, length, ids, task, nth): the token pieces of each text, and the how-many-eth of its length it is in its task.
+
+    With ``crc`` the CRC-32 of the ids, as little-endian 32-bit numbers, stands in their place, as ids_crc32.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = Encoder(path)
+        enc = encoder(path)
         task = TaskContext.get().partitionId()
         counters = np.zeros(capacity + 1, np.int64)
         for b in batches:
@@ -202,35 +210,34 @@ def pieces(df: DataFrame, key: str = "doc_id", text: str = "text", capacity: int
                 nth = np.empty(len(ls), np.int64)
                 nth[order] = np.arange(len(ls)) - np.repeat(runs, size) + counters[ls]
                 counters[ls[runs]] += size
-                offs = np.concatenate([[0], np.cumsum(length)]).astype(np.int32)
+                offs = np.concatenate([[0], np.cumsum(length)])
                 yield pa.RecordBatch.from_arrays(
                     [
                         b.column(0).slice(lo, hi - lo).take(pa.array(doc)), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int32()),
-                        pa.ListArray.from_arrays(pa.array(offs), pa.array(ids, pa.int32())), pa.array(np.full(len(doc), task), pa.int32()), pa.array(nth, pa.int64()),
+                        _crcs(ids, offs) if crc else pa.ListArray.from_arrays(pa.array(offs, pa.int32()), pa.array(ids, pa.int32())), pa.array(np.full(len(doc), task), pa.int32()), pa.array(nth, pa.int64()),
                     ],
-                    names=[key, "piece", "start", "length", "ids", "task", "nth"],
+                    names=[key, "piece", "start", "length", "ids_crc32" if crc else "ids", "task", "nth"],
                 )
 
     kind = df.schema[key].dataType.simpleString()
-    return df.select(key, text).mapInArrow(run, f"`{key}` {kind}, piece int, start long, length int, ids array<int>, task int, nth long")
+    return df.select(key, text).mapInArrow(run, f"`{key}` {kind}, piece int, start long, length int, {'ids_crc32 long' if crc else 'ids array<int>'}, task int, nth long")
 
 
 class Packed:
-    """The packing of a table: ``stored.df`` has the pieces with their ids, ``place`` lays them out."""
+    """The packing of a table: ``stored.df`` has the pieces with their ids (or CRCs), ``place`` lays them out."""
 
-    def __init__(self, df: DataFrame, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY, end_id: int = END_ID, path: str | None = None):
-        self.stored = Stored(pieces(df, key, text, capacity, end_id, path), "pieces")
+    def __init__(self, df: DataFrame, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY, end_id: int = END_ID, path: str | None = None, crc: bool = False):
+        self.stored = Stored(pieces(df, key, text, capacity, end_id, path, crc), "pieces")
         self.by_task = Stored(self.stored.df.groupBy("task", "length").count(), "lengths").df
         hist = {r["length"]: r["n"] for r in self.by_task.groupBy("length").agg(F.sum("count").alias("n")).collect()}  # a row for each length at most
         self.histogram = hist
         self.layout = Layout(solve(hist, capacity))
 
-    def place(self, extra: DataFrame | None = None) -> DataFrame:
-        """``extra`` (default: the stored pieces) with sequence_id and offset; it has to keep task, length and nth."""
-        rows = self.stored.df if extra is None else extra
+    def place(self) -> DataFrame:
+        """The stored pieces with sequence_id and offset."""
         before = F.sum("count").over(Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1))
         ranks = self.by_task.select("task", "length", F.coalesce(before, F.lit(0)).alias("before"))
-        joined = rows.join(ranks, ["task", "length"]).withColumn("rank", F.col("before") + F.col("nth")).drop("before", "task", "nth")
+        joined = self.stored.df.join(ranks, ["task", "length"]).withColumn("rank", F.col("before") + F.col("nth")).drop("before", "task", "nth")
         layout = self.layout
         names = joined.columns
 
@@ -249,23 +256,6 @@ def pack(df: DataFrame, key: str = "doc_id", text: str = "text", capacity: int =
     return Packed(df, key, text, capacity, end_id, path).place()
 
 
-def with_crc(df: DataFrame) -> DataFrame:
-    """The CRC-32 of each row's ids, as little-endian 32-bit numbers, in place of the ids."""
-    fields = [f for f in df.schema.fields if f.name != "ids"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ids = b.column("ids")
-            values = ids.values.to_numpy().astype("<u4")
-            offs = ids.offsets.to_numpy()
-            crc = [zlib.crc32(values[x:y]) for x, y in zip(offs[:-1].tolist(), offs[1:].tolist())]
-            yield pa.RecordBatch.from_arrays([*(b.column(f.name) for f in fields), pa.array(crc, pa.int64())], names=[*(f.name for f in fields), "ids_crc32"])
-
-    return df.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", ids_crc32 long")
-
-
 def digest(df: DataFrame) -> DataFrame:
-    """Each piece with the CRC of its ids instead of them."""
-    packed = Packed(df)
-    out = packed.place(with_crc(packed.stored.df))
-    return out.select("doc_id", F.col("piece").cast("int"), "start", F.col("length").cast("long").alias("length"), "ids_crc32", "sequence_id", "offset")
+    """Each piece with the CRC of its ids instead of them: they needn't be written."""
+    return Packed(df, crc=True).place().select("doc_id", F.col("piece").cast("int"), "start", F.col("length").cast("long").alias("length"), "ids_crc32", "sequence_id", "offset")
