@@ -6,43 +6,59 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import dna
-from .packed import MAX_PACKED_K, count_packed
+from .packed import count_classes_packed, count_packed
 from .windows import CHUNK, windows
 
 #: A counter above this counts as overflowed in the statistics; counts themselves are exact.
 COUNTER_LIMIT = 255
+PATHS = ("auto", "packed", "text")
+
+
+def _check(k: int, order: str, path: str) -> None:
+    dna.check_k(k)
+    dna.check_order(order)
+    if path not in PATHS:
+        raise ValueError(f"path must be one of {PATHS}, not {path!r}")
 
 
 def count_windows(w: DataFrame, k: int, order: str = "reference", by: tuple[str, ...] = ()) -> DataFrame:
-    """(by..., kmer, count) of a table of windows w."""
+    """(by..., kmer, count) of a table of windows w, in one aggregate, as a stream needs it."""
     return w.select(*by, dna.canonical_pair(F.col("w"), k, order).alias("kmer")).groupBy(*by, "kmer").agg(F.count("*").alias("count"))
 
 
-def count_kmers(df: DataFrame, k: int, order: str = "reference", seq: str = "seq", path: str = "auto", chunk: int = CHUNK, spread: int | None = None) -> DataFrame:
+def _distinct(w: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by..., w, n): canonical forms are then found once for each distinct window, not for each window."""
+    return w.groupBy(*by, "w").agg(F.count("*").alias("n"))
+
+
+def count_kmers(df: DataFrame, k: int, order: str = "reference", seq: str = "seq", path: str = "auto", chunk: int | None = None, spread: int | None = None, partitions: int | None = None, size: int | None = None) -> DataFrame:
     """(kmer, count) of sequences, each word standing for itself and its reverse complement.
 
-    ``path``: 'packed' for k up to 31, 'text' for any k, 'auto' for the faster that applies. One shuffle, after
-    partial counts; a null sequence has no words.
+    ``path``: 'packed' (also 'auto') for two bits a base in Arrow batches, one shuffle of whole blocks; 'text' for
+    DataFrame functions alone. ``spread`` deals the chunks of long sequences to that many tasks. A null sequence has no words.
     """
-    dna.check_k(k)
-    dna.check_order(order)
-    if path not in ("auto", "packed", "text"):
-        raise ValueError(f"path must be auto, packed or text, not {path!r}")
-    if path == "packed" or path == "auto" and k <= MAX_PACKED_K:
-        return count_packed(df, k, seq)
-    return count_windows(windows(df, k, seq, chunk=chunk, spread=spread), k, order)
+    _check(k, order, path)
+    if path != "text":
+        return count_packed(df, k, seq, order, chunk or 1 << 20, spread, partitions, size)
+    return _canonical_counts(_distinct(windows(df, k, seq, chunk=chunk or CHUNK, spread=spread)), k, order)
+
+
+def _canonical_counts(distinct: DataFrame, k: int, order: str, by: tuple[str, ...] = ()) -> DataFrame:
+    return distinct.select(*by, dna.canonical_pair(F.col("w"), k, order).alias("kmer"), "n").groupBy(*by, "kmer").agg(F.sum("n").alias("count"))
 
 
 def count_kmers_by(df: DataFrame, k: int, by: tuple[str, ...], order: str = "reference", seq: str = "seq") -> DataFrame:
     """(by..., kmer, count): the counts of each group of sequences."""
-    return count_windows(windows(df, k, seq, keep=by), k, order, by)
+    return _canonical_counts(_distinct(windows(df, k, seq, keep=by), by), k, order, by)
 
 
-def count_classes(df: DataFrame, k: int, seq: str = "seq") -> DataFrame:
-    """(class_kmer, count_i, count_r, count_c, count_rc): a row per class under all four symmetries."""
-    dna.check_k(k)
-    w = windows(df, k, seq).select(dna.canonical_v4(F.col("w"), k).alias("v"))
-    counters = [F.count_if(F.col("v.transform") == t).alias(f"count_{t.lower()}") for t in ("I", "R", "C", "RC")]
+def count_classes(df: DataFrame, k: int, seq: str = "seq", path: str = "auto", chunk: int | None = None, spread: int | None = None, partitions: int | None = None, size: int | None = None) -> DataFrame:
+    """(class_kmer, count_i, count_r, count_c, count_rc): a row per class under all four symmetries; arguments as for ``count_kmers``."""
+    _check(k, "reference", path)
+    if path != "text":
+        return count_classes_packed(df, k, seq, chunk or 1 << 20, spread, partitions, size)
+    w = _distinct(windows(df, k, seq, chunk=chunk or CHUNK, spread=spread)).select(dna.canonical_v4(F.col("w"), k).alias("v"), "n")
+    counters = [F.sum(F.when(F.col("v.transform") == t, F.col("n")).otherwise(0)).alias(f"count_{t.lower()}") for t in ("I", "R", "C", "RC")]
     return w.groupBy(F.col("v.kmer").alias("class_kmer")).agg(*counters)
 
 

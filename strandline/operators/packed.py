@@ -1,7 +1,13 @@
-"""Counting with words packed two bits a base in a long, for k up to 31: Arrow batches in, partial counts out.
+"""Counting with words packed two bits a base, 32 bases a number, for every k: Arrow batches in, rows of counts out.
 
-A batch's sequences lie end to end with a break between them. The codes of all windows come from log2(k) doublings,
-windows with another byte inside drop out, and each task sends one row per distinct word of some millions of windows.
+A batch's sequences lie end to end with a break between them. The codes of all blocks come from doublings, windows with
+another byte inside drop out. A word is held as its key: blocks of 32 bases, each read from its last base, so that the
+order of keys is the reference order; ``order="lex"`` above 32 bases holds blocks read from the first base.
+
+Up to ``DENSE`` bases a task counts into one array over all words. Above it each slice of windows is sorted and its
+distinct words go out with their counts. What goes out is a row per part, not per word: the words are dealt into parts
+by a hash and each part of a slice is one block of bytes. A reducer merges whole parts, as many at once as fill
+``MERGE`` words, and spells each distinct word once. So the one shuffle carries 9 bytes a word at k up to 32.
 """
 
 from __future__ import annotations
@@ -14,11 +20,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import dna
-from .windows import chunks
 
-MAX_PACKED_K = 31
-#: Bases whose words are counted before rows go out.
-SLICE = 1 << 22
+U = np.uint64
+#: Windows that are sorted at once.
+SLICE = 1 << 21
+#: Longest words that are counted in one array a task.
+DENSE = 11
+#: Words that a reducer merges at once, if they are of several parts.
+MERGE = 1 << 20
+#: Rows of a result's batch.
+OUT = 1 << 18
+#: Parts into which words are dealt: one for about so many bytes of input, between these bounds.
+PART_BYTES, PARTS = 1 << 22, (1 << 8, 1 << 18)
+#: Transforms in the order of their counters.
+TAGS = ("i", "r", "c", "rc")
 
 _CODE = np.full(256, 4, np.uint8)
 for _i, _c in enumerate(b"ACGT"):
@@ -38,71 +53,278 @@ def _join(arr: pa.Array) -> np.ndarray:
     return np.insert(_CODE[data], offs[1:] - offs[0], 4)
 
 
-def codes(base: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(forward, reverse complement) codes of the windows free of breaks; the first base is the most significant."""
-    n = len(base) - k + 1
+def _mask(m: int) -> np.uint64:
+    return U((1 << 2 * m) - 1)
+
+
+def codes(base: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray]:
+    """(forward, reverse complement) codes of the m bases from each place on, m up to 32; the first base is the most significant."""
+    n = len(base) - m + 1
     if n <= 0:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    broken = np.concatenate([[0], np.cumsum(base > 3, dtype=np.int32)])
-    ok = broken[k:] == broken[:-k]
-    f = (base & 3).astype(np.int64)
-    r = 3 - f
+        return np.zeros(0, U), np.zeros(0, U)
+    f = (base & 3).astype(U)
+    r = U(3) - f
     done_f = done_r = None
-    done, m, left = 0, 1, k
+    done, have, left = 0, 1, m
     while left:
         if left & 1:
             if done_f is None:
                 done_f, done_r = f, r
             else:
-                size = len(done_f) - m
-                done_f = (done_f[:size] << 2 * m) | f[done : done + size]
-                done_r = done_r[:size] | (r[done : done + size] << 2 * done)
-            done += m
+                size = len(done_f) - have
+                done_f = (done_f[:size] << U(2 * have)) | f[done : done + size]
+                done_r = done_r[:size] | (r[done : done + size] << U(2 * done))
+            done += have
         left >>= 1
         if left:
-            size = len(f) - m
-            f, r = (f[:size] << 2 * m) | f[m:], r[:size] | (r[m:] << 2 * m)
-            m *= 2
-    return done_f[:n][ok], done_r[:n][ok]
+            size = len(f) - have
+            f, r = (f[:size] << U(2 * have)) | f[have:], r[:size] | (r[have:] << U(2 * have))
+            have *= 2
+    return done_f[:n], done_r[:n]
+
+
+def words(base: np.ndarray, k: int, keys: bool = True) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """The blocks of each window free of breaks and those of its reverse complement, as keys or read from the first base."""
+    n = len(base) - k + 1
+    if n <= 0:
+        return ([np.zeros(0, U)] * (-(-k // 32)),) * 2
+    broken = np.zeros(len(base) + 1, np.int32)
+    np.cumsum(base > 3, out=broken[1:])
+    at = np.flatnonzero(broken[k:] == broken[:-k])
+    whole = (k - 1) // 32
+    rest = k - 32 * whole
+    f0, r0 = codes(base, 32) if whole else (None, None)
+    f1, r1 = codes(base, rest)
+    here = [f0[at + 32 * b] for b in range(whole)] + [f1[at + 32 * whole]]
+    back = [r0[at + (k - 32 * (b + 1))] for b in range(whole)] + [r1[at]]
+    if not keys:
+        return here, back
+    # A block read from its last base is the complement of its reverse complement.
+    size = [32] * whole + [rest]
+    return [~r0[at + 32 * b] for b in range(whole)] + [~r1[at + 32 * whole] & _mask(rest)], [~f0[at + (k - 32 * (b + 1))] for b in range(whole)] + [~f1[at] & _mask(size[-1])]
+
+
+def _less(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    less, equal = a[0] < b[0], a[0] == b[0]
+    for x, y in zip(a[1:], b[1:]):
+        less |= equal & (x < y)
+        equal &= x == y
+    return less
+
+
+def _pick(take: np.ndarray, a: list[np.ndarray], b: list[np.ndarray]) -> list[np.ndarray]:
+    return [np.where(take, x, y) for x, y in zip(a, b)]
+
+
+def canonical(own: list[np.ndarray], back: list[np.ndarray]) -> list[np.ndarray]:
+    return [np.minimum(own[0], back[0])] if len(own) == 1 else _pick(_less(back, own), back, own)
+
+
+def classes(own: list[np.ndarray], back: list[np.ndarray], k: int) -> list[np.ndarray]:
+    """The least of the four images, ties in the order I, RC, C, R, with the transform: below 32 bases in the lowest two bits, else as one number more."""
+    masks = [_mask(32)] * (len(own) - 1) + [_mask(k - 32 * (len(own) - 1))]
+    best, tag = own, np.zeros(len(own[0]), U)
+    for t, image in ((3, back), (2, [~x & m for x, m in zip(own, masks)]), (1, [~x & m for x, m in zip(back, masks)])):
+        less = _less(image, best)
+        best, tag = _pick(less, image, best), np.where(less, U(t), tag)
+    return [best[0] << U(2) | tag] if k < 32 else [*best, tag]
+
+
+def spell(blocks: list[np.ndarray], k: int, keys: bool = True) -> pa.Array:
+    """The words of blocks."""
+    n = len(blocks[0])
+    out = np.empty((n, k), np.uint8)
+    four = np.stack([_LETTER[np.arange(256) >> s & 3] for s in (6, 4, 2, 0)], 1)
+    if keys:
+        four = np.ascontiguousarray(four[:, ::-1])
+    four = four.view(np.uint32).ravel()
+    for b, x in enumerate(blocks):
+        size = min(32, k - 32 * b)
+        quads = -(-size // 4)
+        part = np.empty((n, quads), np.uint32)
+        for q in range(quads):
+            part[:, q] = four[(x >> U(8 * (q if keys else quads - 1 - q)) & U(255)).astype(np.uint8)]
+        letters = part.view(np.uint8).reshape(n, 4 * quads)
+        out[:, 32 * b : 32 * b + size] = letters[:, :size] if keys else letters[:, 4 * quads - size :]
+    return pa.StringArray.from_buffers(n, pa.py_buffer((np.arange(n + 1) * k).astype(np.int32)), pa.py_buffer(out))
+
+
+def _merge(lanes: list[np.ndarray], n: np.ndarray | None) -> tuple[list[np.ndarray], np.ndarray]:
+    """The distinct rows, and the sums of their counts (None: one each)."""
+    if len(lanes) == 1 and n is None:
+        keys, n = np.unique(lanes[0], return_counts=True)
+        return [keys], n
+    if not len(lanes[0]):
+        return lanes, np.zeros(0, np.int64)
+    order = np.argsort(lanes[0]) if len(lanes) == 1 else np.lexsort(lanes[::-1])
+    lanes = [x[order] for x in lanes]
+    new = np.zeros(len(order), bool)
+    new[0] = True
+    for x in lanes:
+        new[1:] |= x[1:] != x[:-1]
+    first = np.flatnonzero(new)
+    total = np.diff(np.append(first, len(order))) if n is None else np.add.reduceat(n[order], first)
+    return [x[first] for x in lanes], total.astype(np.int64)
+
 
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> U(30))) * U(0xBF58476D1CE4E5B9)
+    return x ^ (x >> U(27))
 
-def decode(code: np.ndarray, k: int) -> pa.Array:
-    """The words of codes."""
-    out = np.empty((len(code), k), np.uint8)
-    for i in range(k):
-        out[:, i] = _LETTER[(code >> 2 * (k - 1 - i)) & 3]
-    return pa.StringArray.from_buffers(len(code), pa.py_buffer((np.arange(len(code) + 1) * k).astype(np.int32)), pa.py_buffer(out.tobytes()))
 
+def _rows(lanes: list[np.ndarray], n: np.ndarray, parts: int, key_lanes: int, shift: int) -> pa.RecordBatch:
+    """(part, words, n): the blocks of bytes of distinct words, by part; counts take as few bytes as the largest needs."""
+    h = np.zeros(len(n), U)
+    for x in lanes[:key_lanes]:  # a class has one part, whatever the transform
+        h = _mix(h ^ (x >> U(shift)) * U(0x9E3779B97F4A7C15))
+    part = (h >> U(33)) & U(parts - 1)
+    part = part.astype(np.uint16 if parts <= 1 << 16 else np.uint32)
+    order = np.argsort(part, kind="stable")
+    part = part[order]
+    first = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(part) else np.zeros(0, np.int64)
+    cut = np.append(first, len(part))
+    data = np.stack([x[order] for x in lanes], 1) if len(lanes) > 1 else lanes[0][order]
+    most = int(n.max()) if len(n) else 0
+    n = n[order].astype(np.uint8 if most < 1 << 8 else np.uint32 if most < 1 << 32 else np.int64)
 
-def count_packed(df: DataFrame, k: int, seq: str = "seq", chunk: int = 1 << 20) -> DataFrame:
-    """(kmer, count) under reverse complement."""
+    def binary(x: np.ndarray, size: int) -> pa.Array:
+        return pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer((cut * size).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(x))])
+
+    return pa.RecordBatch.from_arrays([pa.array(part[first].astype(np.int32)), binary(data, 8 * len(lanes)), binary(n, n.itemsize)], names=["part", "words", "n"])
+
+
+def _parts(df: DataFrame, size: int | None) -> int:
+    """Parts for an input of ``size`` bytes; None: as far as the planner knows it, and if it doesn't, 4096."""
+    if size is None:
+        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+        size = 4096 * PART_BYTES if size > 1 << 60 else size
+    return min(max(1 << max(0, (size // PART_BYTES - 1).bit_length()), PARTS[0]), PARTS[1])
+
+
+def cut(df: DataFrame, k: int, seq: str = "seq", chunk: int = 1 << 20) -> DataFrame:
+    """(seq): pieces of the bytes of each text, such that every window begins in exactly one; in one pass, however long a text is."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            arr = b.column(0).cast(pa.large_binary())
+            held, size = [], 0
+            for x in arr:
+                if not x.is_valid:
+                    continue
+                data = memoryview(x.as_buffer())
+                for lo in range(0, max(len(data) - k + 1, 0), chunk):
+                    held.append(data[lo : lo + chunk + k - 1])
+                    size += len(held[-1])
+                    if size > 1 << 24:
+                        yield pa.RecordBatch.from_arrays([pa.array(held, pa.binary())], names=["seq"])
+                        held, size = [], 0
+            if held:
+                yield pa.RecordBatch.from_arrays([pa.array(held, pa.binary())], names=["seq"])
+
+    return df.select(F.col(seq).alias("seq")).mapInArrow(run, "seq binary")
+
+
+def _counted(df: DataFrame, k: int, seq: str, four: bool, order: str, chunk: int, spread: int | None, partitions: int | None, size: int | None) -> DataFrame:
     dna.check_k(k)
-    if k > MAX_PACKED_K:
-        raise ValueError(f"packed words need k up to {MAX_PACKED_K}")
+    dna.check_order(order)
+    keys = four or order == "reference" or k <= 32
+    n_words = -(-k // 32)
+    lanes_of = n_words + (four and k >= 32)
+    shift = 2 if four and k < 32 else 0
+    step = max(1, SLICE // n_words)
+    rows = cut(df, k, seq, chunk).repartition(spread) if spread else df.select(F.col(seq).alias("seq"))
+    parts = _parts(df, size)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def lanes(base: np.ndarray) -> list[np.ndarray]:
+        own, back = words(base, k, keys)
+        return classes(own, back, k) if four else canonical(own, back)
+
+    def bases(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+        """Stretches of at most ``step`` windows; those of a longer one overlap."""
         held, size = [], 0
 
-        def flush() -> pa.RecordBatch:
-            f, r = codes(np.concatenate(held), k)
-            u, n = np.unique(np.minimum(f, r), return_counts=True)
-            held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(u), pa.array(n.astype(np.int64))], names=["code", "n"])
+        def out() -> Iterator[np.ndarray]:
+            whole = np.concatenate(held)
+            for lo in range(0, max(len(whole) - k + 1, 0), step):
+                yield whole[lo : lo + step + k - 1]
 
         for b in batches:
             for lo in range(0, b.num_rows, 64):
                 held.append(_join(b.column(0).slice(lo, 64)))
                 size += len(held[-1])
-                if size >= SLICE:
-                    yield flush()
-                    size = 0
+                if size >= step:
+                    yield from out()
+                    held, size = [], 0
         if held:
-            yield flush()
+            yield from out()
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if k <= DENSE:
+            total = np.zeros(4**k, np.int64)
+            for base in bases(batches):
+                got = words(base, k, False)[0][0].astype(np.int64)
+                if 8 * len(got) > len(total):
+                    total += np.bincount(got, minlength=len(total))
+                else:
+                    np.add.at(total, got, 1)
+            seen = np.flatnonzero(total)
+            if len(seen):
+                letters = np.stack([(seen >> 2 * (k - 1 - i) & 3) for i in range(k)] + [np.full(len(seen), 4)], 1).astype(np.uint8).ravel()
+                yield _rows(*_merge(lanes(letters), total[seen]), parts, n_words, shift)
+            return
+        for base in bases(batches):
+            found = lanes(base)
+            if len(found[0]):
+                yield _rows(*_merge(found, None), parts, n_words, shift)
+
+    def merged(held: list[tuple]) -> Iterator[pa.RecordBatch]:
+        data = np.concatenate([np.frombuffer(w.as_buffer(), U) for w, _ in held]).reshape(-1, lanes_of)
+        n = []
+        for w, c in held:
+            size = len(c.as_buffer()) * 8 * lanes_of // len(w.as_buffer())
+            n.append(np.frombuffer(c.as_buffer(), {1: np.uint8, 4: np.uint32, 8: np.int64}[size]).astype(np.int64))
+        found, n = _merge([np.ascontiguousarray(data[:, i]) for i in range(lanes_of)], np.concatenate(n))
+        if not four:
+            for lo in range(0, len(n), OUT):
+                yield pa.RecordBatch.from_arrays([spell([x[lo : lo + OUT] for x in found], k, keys), pa.array(n[lo : lo + OUT])], names=["kmer", "count"])
+            return
+        tag = (found[0] & U(3) if k < 32 else found[-1]).astype(np.int64)
+        blocks = [found[0] >> U(2)] if k < 32 else found[:-1]
+        new = np.zeros(len(n), bool)
+        new[:1] = True
+        for x in blocks:
+            new[1:] |= x[1:] != x[:-1]
+        at = np.cumsum(new) - 1
+        counters = np.zeros((int(new.sum()), 4), np.int64)
+        counters[at, tag] = n
+        blocks = [x[new] for x in blocks]
+        for lo in range(0, len(counters), OUT):
+            each = [pa.array(np.ascontiguousarray(counters[lo : lo + OUT, t])) for t in range(4)]
+            yield pa.RecordBatch.from_arrays([spell([x[lo : lo + OUT] for x in blocks], k), *each], names=["class_kmer", *(f"count_{t}" for t in TAGS)])
 
-    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size, last = [], 0, None
         for b in batches:
-            yield pa.RecordBatch.from_arrays([decode(b.column(0).to_numpy(), k), b.column(1)], names=["kmer", "count"])
+            for part, w, c in zip(b.column(0).to_pylist(), b.column(1), b.column(2)):
+                if part != last and size >= MERGE:
+                    yield from merged(held)
+                    held, size = [], 0
+                held.append((w, c))
+                size += len(w.as_buffer()) // (8 * lanes_of)
+                last = part
+        if held:
+            yield from merged(held)
+
+    blocks = rows.mapInArrow(count, "part int, words binary, n binary")
+    dealt = (blocks.repartition(partitions, "part") if partitions else blocks.repartition("part")).sortWithinPartitions("part")
+    return dealt.mapInArrow(merge, "class_kmer string, " + ", ".join(f"count_{t} long" for t in TAGS) if four else "kmer string, count long")
+
+
+def count_packed(df: DataFrame, k: int, seq: str = "seq", order: str = "reference", chunk: int = 1 << 20, spread: int | None = None, partitions: int | None = None, size: int | None = None) -> DataFrame:
+    """(kmer, count) under reverse complement. ``spread`` deals chunks of the sequences to that many tasks, ``partitions`` the words; ``size``: bytes of input."""
+    return _counted(df, k, seq, False, order, chunk, spread, partitions, size)
+
 
-    pieces = chunks(df.select(F.col(seq).alias("run")), k, size=chunk)
-    total = pieces.mapInArrow(count, "code long, n long").groupBy("code").agg(F.sum("n").alias("count"))
-    return total.mapInArrow(spell, "kmer string, count long")
+def count_classes_packed(df: DataFrame, k: int, seq: str = "seq", chunk: int = 1 << 20, spread: int | None = None, partitions: int | None = None, size: int | None = None) -> DataFrame:
+    """(class_kmer, count_i, count_r, count_c, count_rc): a row per class under all four symmetries."""
+    return _counted(df, k, seq, True, "reference", chunk, spread, partitions, size)

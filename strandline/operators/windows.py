@@ -18,15 +18,18 @@ def runs(df: DataFrame, seq: str = "seq", keep: tuple[str, ...] = (), min_length
 
 
 def chunks(df: DataFrame, k: int, col: str = "run", size: int = CHUNK, start: str | None = None) -> DataFrame:
-    """Cuts texts so that every window of k bases begins in exactly one piece; ``start`` names an offset column to add."""
+    """Cuts runs so that every window of k bases begins in exactly one piece; ``start`` names an offset column to add.
+
+    One walk along the run: each match takes ``size`` bases and looks k - 1 further. A substring by position would walk
+    from the run's start for each piece.
+    """
     dna.check_k(k)
     if size < 1:
         raise ValueError("size must be positive")
-    at = F.sequence(F.lit(0), F.length(col) - F.lit(k), F.lit(size))
     others = [c for c in df.columns if c != col]
-    cut = df.where(F.length(col) >= k).select(*others, F.col(col).alias("_whole"), F.explode(at).alias("_at"))
-    piece = F.substring(F.col("_whole"), F.col("_at") + 1, F.lit(size + k - 1)).alias(col)
-    return cut.select(*others, piece, *([F.col("_at").cast("long").alias(start)] if start else []))
+    found = F.regexp_extract_all(col, F.lit(f"(?=([ACGT]{{{k},{size + k - 1}}}))[ACGT]{{1,{size}}}"), F.lit(1))
+    cut = df.where(F.length(col) >= k).select(*others, F.posexplode(found).alias("_nth", "_piece"))
+    return cut.select(*others, F.col("_piece").alias(col), *([(F.col("_nth").cast("long") * size).alias(start)] if start else []))
 
 
 def kmers(df: DataFrame, k: int, col: str = "run", pos: str | None = None) -> DataFrame:

@@ -12,8 +12,11 @@ from ..functions import dna
 from ..operators import count as C
 from ..operators import windows as W
 from ..operators.packed import count_packed
-from ..sources.sequences import read_fasta, read_fastq, read_sequences, sequences_from_column
+from ..sources.scratch import put, shared_dir
+from ..sources.sequences import read_fasta, read_sequences, sequences_from_column
 from ..sources.sinks import tsv_lines
+from .golden import GOLDEN
+from .runner import count_file, run_statistics
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,13 +26,7 @@ def _seq(spark: SparkSession, d: str, table: str, col: str, adapter: str, keep:
 
 
 def _scratch(spark: SparkSession) -> str:
-    """A new folder where all of the cluster can read and write."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        import tempfile
-
-        base = "file://" + tempfile.mkdtemp(prefix="strandline-")
-    return f"{base.rstrip('/')}/sequences-{uuid.uuid4().hex[:12]}"
+    return f"{shared_dir(spark)}/sequences-{uuid.uuid4().hex[:12]}"
 
 
 def _fasta(spark: SparkSession, d: str) -> DataFrame:
@@ -47,8 +44,8 @@ def fastq_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     path = _scratch(spark)
     seq = _seq(spark, d, "documents", "text", "mapped", ("doc_id",))
     s = F.coalesce("seq", F.lit(""))
-    seq.select(F.concat(F.lit("@"), F.col("doc_id").cast("string"), F.lit("\n"), s, F.lit("\n+\n"), F.regexp_replace(s, ".", "I")).alias("value")).write.text(path)
-    return C.count_kmers(read_fastq(spark, path), 3)
+    seq.select(F.concat(F.lit("@"), F.col("doc_id").cast("string"), F.lit("\n"), s, F.lit("\n+\n"), F.repeat(F.lit("I"), F.length(s))).alias("value")).write.text(path)
+    return C.count_kmers(read_sequences(spark, path, "fastq"), 3)
 
 
 def auto_roundtrip(spark: SparkSession, d: str) -> DataFrame:
@@ -57,6 +54,36 @@ def auto_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     return C.count_kmers(read_sequences(spark, path), 4)
 
 
+def parser_rules(spark: SparkSession, d: str, gzip: bool = False) -> DataFrame:
+    """Each small file of ``GOLDEN``, written and read: its counts, and a row without a word for its classes."""
+    import gzip as gz
+
+    folder, out = _scratch(spark), None
+    for i, (name, text, k, order, _, _) in enumerate(GOLDEN):
+        path = f"{folder}/{i}.txt{'.gz' if gzip else ''}"
+        put(spark, path, gz.compress(text.encode()) if gzip else text.encode())
+        rows = read_sequences(spark, path)
+        found = C.count_kmers(rows, k, order, spread=2, partitions=2).unionByName(C.count_classes(rows, k, spread=2, partitions=2).agg(F.lit("").alias("kmer"), F.count("*").alias("count")))
+        found = found.select(F.lit(name).alias("rule"), "kmer", "count")
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def one_record(spark: SparkSession, d: str, k: int = 21) -> DataFrame:
+    """All texts as the wrapped lines of one FASTA record: read by one task, counted by many."""
+    path = _scratch(spark)
+    seq = _seq(spark, d, "documents", "text", "mapped", ("doc_id",)).where("seq != ''").coalesce(1).sortWithinPartitions("doc_id").select("seq")
+    lines = spark.createDataFrame([(">all",)], "seq string").coalesce(1).unionByName(seq).coalesce(1)
+    lines.write.text(path)
+    return count_file(spark, path, k, "fasta")
+
+
+def file_statistics(spark: SparkSession, d: str) -> DataFrame:
+    path = _scratch(spark)
+    _fasta(spark, d).write.text(path)
+    return run_statistics(spark, f"{path}/*.txt", 5)
+
+
 # DuckDB SQL ---------------------------------------------------------------------------------------------------------
 
 _MAPPED = "translate(upper(regexp_replace({col}, '[^A-Za-z]', '', 'g')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'ACGTACGTACGTACGTACGTACGTAC')"
@@ -124,6 +151,11 @@ def _compare(s: SparkSession, d: str) -> DataFrame:
 
 _STATS = f"select count(*) as classes, coalesce(cast(sum((count_i + count_rc > 0)::int + (count_r + count_c > 0)::int) as bigint), 0) as output_rows, count(*) filter (greatest(count_i, count_r, count_c, count_rc) > 255) as overflow_classes, coalesce(cast(sum(count_i + count_r + count_c + count_rc) as bigint), 0) as windows from ({_classes_sql('documents', 'text', 5)})"
 
+_RULES = "select * from (values " + ", ".join(f"('{n}', '{w}', {c}::bigint)" for n, _, _, _, counts, classes in GOLDEN for w, c in [*counts.items(), ("", classes)]) + ") as t(rule, kmer, count)"
+_SIZE = f"select sum(3 + length(cast(doc_id as varchar)) + length(coalesce({_MAPPED.format(col='text')}, '')))::bigint as b from documents"
+_FILE_STATS = f"""with e as (select least(greatest(b * 9 // 10 * 12 // 10, 1000000), 1024)::bigint as estimate from ({_SIZE}))
+select 5::bigint as k, 1::bigint as words, 12::bigint as entry_bytes, 'fasta' as format, false as gzip, estimate as estimated_kmers, cast(2048 as bigint) as capacity, s.*, classes / 2048.0::double as load_factor from ({_STATS}) s, e"""
+
 _ALL: dict[str, tuple[Query, str]] = {
     "kmer_count_natural_k3": _plain(3, "natural"),
     "kmer_count_mapped_k21": _plain(21),
@@ -131,11 +163,13 @@ _ALL: dict[str, tuple[Query, str]] = {
     "kmer_count_k5": _plain(5),
     "kmer_count_text_k11": _plain(11, path="text"),
     "kmer_count_packed_k31": _plain(31, table="conversations", path="packed"),
-    **{f"kmer_count_k{k}_reference": _plain(k, table="benchmark") for k in (32, 33, 64, 65, 96, 97, 127)},
-    **{f"kmer_count_k{k}_lex": _plain(k, table="benchmark", order="lex") for k in (33, 127)},
+    **{f"kmer_count_k{k}_reference": _plain(k) for k in (32, 33, 64, 65, 96, 97, 127)},
+    **{f"kmer_count_k{k}_lex": _plain(k, order="lex") for k in (33, 127)},
+    "kmer_count_text_k40": _plain(40, table="conversations", path="text"),
     "v4_class_counts_k5": (lambda s, d: _classes(s, d, 5), _classes_sql("documents", "text", 5)),
-    "v4_class_counts_k21": (lambda s, d: _classes(s, d, 21, "benchmark"), _classes_sql("benchmark", "text", 21)),
-    "v4_class_counts_k40": (lambda s, d: _classes(s, d, 40, "benchmark"), _classes_sql("benchmark", "text", 40)),
+    "v4_class_counts_k21": (lambda s, d: _classes(s, d, 21), _classes_sql("documents", "text", 21)),
+    "v4_class_counts_k40": (lambda s, d: _classes(s, d, 40), _classes_sql("documents", "text", 40)),
+    "v4_class_counts_text_k9": (lambda s, d: C.count_classes(_seq(s, d, "conversations", "text", "mapped"), 9, path="text"), _classes_sql("conversations", "text", 9)),
     "v4_split_pairs_k5": (lambda s, d: C.split_classes(_classes(s, d, 5), 5), _count_sql("documents", "text", "mapped", 5)),
     "transforms_k40": (_transforms, _TRANSFORMS),
     "runs": (lambda s, d: W.runs(_seq(s, d, "pages", "html", "natural", ("page_id",)), keep=("page_id",)), _RUN_SQL),
@@ -145,11 +179,17 @@ _ALL: dict[str, tuple[Query, str]] = {
     "fastq_roundtrip_k3": (fastq_roundtrip, _DOCS3),
     "auto_roundtrip_k4": (auto_roundtrip, _count_sql("documents", "text", "mapped", 4)),
     "kmer_tsv": (lambda s, d: tsv_lines(C.count_kmers(_seq(s, d, "documents", "text", "mapped"), 6)), f"select kmer || chr(9) || count as value from ({_count_sql('documents', 'text', 'mapped', 6)})"),
+    "parser_rules": (parser_rules, _RULES),
+    "parser_rules_gzip": (lambda s, d: parser_rules(s, d, True), _RULES),
+    "run_statistics_k5": (file_statistics, _FILE_STATS),
     "run_stats_k5": (lambda s, d: C.stats(_classes(s, d, 5)), _STATS),
     "kmer_per_source_k4": (lambda s, d: C.count_kmers_by(_seq(s, d, "documents", "text", "mapped", ("source",)), 4, ("source",)), _count_sql("documents", "text", "mapped", 4, keep="source")),
     "kmer_spectrum_k9": (lambda s, d: C.spectrum(count_packed(_seq(s, d, "documents", "text", "mapped"), 9)), f"select count as multiplicity, count(*) as kmers from ({_count_sql('documents', 'text', 'mapped', 9)}) group by 1"),
     "kmer_compare_k6": (_compare, f"select kmer, coalesce(a.count, 0) as count_left, coalesce(b.count, 0) as count_right from ({_count_sql('documents', 'text', 'mapped', 6)}) a full join ({_count_sql('conversations', 'text', 'mapped', 6)}) b using (kmer)"),
 }
 
-QUERIES: dict[str, Query] = {k: v[0] for k, v in _ALL.items()}
+#: Windows across the ends of texts: DuckDB would cut them out of one string, each from its start.
+_NO_SQL: dict[str, Query] = {"one_record_k21": one_record}
+
+QUERIES: dict[str, Query] = {k: v[0] for k, v in _ALL.items()} | _NO_SQL
 SQL: dict[str, str] = {k: v[1] for k, v in _ALL.items()}

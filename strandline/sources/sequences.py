@@ -11,6 +11,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 #: Consecutive matches walk a file as its four-line state machine does; group 1 is the sequence line.
 _FASTQ = r"@([^\n]*)\n?([^\n]*)\n?[^\n]*\n?[^\n]*\n?|[^@\n][^\n]*\n?|\n"
 _COLUMNS = ("file", "record_idx", "header", "seq")
+#: Bytes that are read at once.
+_BLOCK = 1 << 23
 
 
 def detect_format(spark: SparkSession, path: str) -> str:
@@ -25,7 +27,8 @@ def detect_format(spark: SparkSession, path: str) -> str:
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     """One row per '>' wherever it stands; a header ends at the first line feed and the lines after it are joined.
 
-    Splitting at '>' lets Spark cut plain files anywhere; a gzip file is one task. ``record_idx`` grows along a file.
+    Splitting at '>' lets Spark cut plain files anywhere; a gzip file is one task. ``record_idx`` tells records apart and
+    grows along a file; it is not a count of records, which would need a pass over the files before.
     """
     chunk = F.col("value")
     at = F.instr(chunk, "\n")
@@ -59,36 +62,81 @@ class _FastqReader(DataSourceReader):
 
     def read(self, partition: _Part) -> Iterator:
         import gzip
-        import io
 
         import pyarrow as pa
         from pyarrow import fs
 
         system, name = fs.FileSystem.from_uri(partition.path) if "://" in partition.path else (fs.LocalFileSystem(), partition.path)
         raw = system.open_input_stream(name, compression=None)
-        lines = io.BufferedReader(gzip.GzipFile(fileobj=raw) if name.endswith(".gz") else raw, 1 << 20)
-        held: list[tuple[int, str, str]] = []
+        stream = gzip.GzipFile(fileobj=raw) if name.endswith(".gz") else raw
         n = 0
-
-        def batch() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays(
-                [pa.array([name.rpartition("/")[2]] * len(held)), pa.array([r[0] for r in held], pa.int64()), pa.array([r[1] for r in held], pa.string()), pa.array([r[2] for r in held], pa.string())],
-                names=list(_COLUMNS),
-            )
-
-        while line := lines.readline():
-            if line[:1] != b"@":
-                continue
-            seq = lines.readline()
-            lines.readline()
-            lines.readline()
-            held.append((n, line[1:].rstrip(b"\n").decode("utf-8", "replace"), seq.rstrip(b"\n").decode("utf-8", "replace")))
-            n += 1
-            if len(held) == self.rows:
-                yield batch()
-                held.clear()
-        if held:
-            yield batch()
+        for heads, seqs in _records(stream, _BLOCK):
+            for lo in range(0, len(heads), self.rows):
+                h = heads.slice(lo, self.rows)
+                yield pa.RecordBatch.from_arrays([pa.array([name.rpartition("/")[2]] * len(h)), pa.array(range(n, n + len(h)), pa.int64()), h, seqs.slice(lo, self.rows)], names=list(_COLUMNS))
+                n += len(h)
+
+
+def _strings(buf, start, end):
+    """The texts between bytes start and end, which don't overlap, as an Arrow array; what is no UTF-8 is replaced."""
+    import numpy as np
+    import pyarrow as pa
+
+    step = np.zeros(len(buf) + 1, np.int8)
+    step[start] += 1
+    step[end] -= 1
+    data = buf[np.cumsum(step[:-1], dtype=np.int8).astype(bool)]
+    offs = np.zeros(len(start) + 1, np.int64)
+    np.cumsum(end - start, out=offs[1:])
+    if len(data) < 1 << 31:
+        out = pa.Array.from_buffers(pa.string(), len(start), [None, pa.py_buffer(offs.astype(np.int32)), pa.py_buffer(data)])
+        try:
+            out.validate(full=True)
+            return out
+        except pa.ArrowInvalid:
+            pass
+    return pa.array([data[x:y].tobytes().decode("utf-8", "replace") for x, y in zip(offs[:-1].tolist(), offs[1:].tolist())], pa.string())
+
+
+def _records(stream, block: int) -> Iterator[tuple]:
+    """(headers, sequences) of the records of a stream, a block of bytes at a time; a record is four lines, from one that begins with '@'."""
+    import numpy as np
+
+    rest, size, last = b"", block, False
+    while not last:
+        new = stream.read(size)
+        last = not new
+        data = rest + new
+        if last and data and not data.endswith(b"\n"):
+            data += b"\n"
+        buf = np.frombuffer(data, np.uint8)
+        end = np.flatnonzero(buf == 10)
+        start = np.concatenate([[0], end[:-1] + 1]) if len(end) else end
+        is_head = buf[start] == 64
+        i, found = 0, []
+        while True:
+            groups = (len(end) - i) // 4
+            if not groups:
+                break
+            heads = is_head[i : i + 4 * groups : 4]
+            good = groups if heads.all() else int(np.argmin(heads))
+            found.append(np.arange(i, i + 4 * good, 4))
+            i += 4 * good
+            if good < groups:  # lines before the next header are passed over
+                after = is_head[i:]
+                i = i + int(np.argmax(after)) if after.any() else len(end)
+        if last:
+            after = is_head[i:]
+            if after.any():  # the last record may lack lines
+                found.append(np.array([i + int(np.argmax(after))]))
+            i = len(end)
+        at = np.concatenate(found) if found else np.zeros(0, np.int64)
+        if len(at):
+            nxt = np.minimum(at + 1, len(end) - 1)
+            here = at + 1 < len(end)
+            yield _strings(buf, start[at] + 1, end[at]), _strings(buf, np.where(here, start[nxt], len(buf)), np.where(here, end[nxt], len(buf)))
+        rest = data[start[i] :] if i < len(end) else data[end[-1] + 1 :] if len(end) else data
+        size = block if i else 2 * size  # a record longer than a block
 
 
 class FastqSource(DataSource):
@@ -106,7 +154,7 @@ class FastqSource(DataSource):
 
 
 def read_fastq_streamed(spark: SparkSession, paths: list[str], rows: int = 20_000) -> DataFrame:
-    """As ``read_fastq``, one task per file, line by line, in batches of ``rows`` records: files of any size."""
+    """As ``read_fastq``, one task per file, block by block, in batches of ``rows`` records: files of any size."""
     spark.dataSource.register(FastqSource)
     return spark.read.format("fastq").option("paths", ",".join(paths)).option("rows", rows).load()
 
@@ -127,6 +175,13 @@ def read_sequences(spark: SparkSession, path: str, format: str = "auto") -> Data
     return read_fastq_streamed(spark, [f.replace(",", "%2C") for f in files])
 
 
+def file_bytes(spark: SparkSession, path: str) -> int:
+    """The bytes of a file, a folder's files or a pattern's, as stored."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    return sum(system.getContentSummary(s.getPath()).getLength() for s in system.globStatus(p) or [])
+
+
 def _streams(file: str) -> bool:
     """Whether pyarrow opens the file's store, and no codec but gzip is on it; else only Spark can read it."""
     from pyarrow import fs

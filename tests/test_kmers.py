@@ -10,34 +10,14 @@ from strandline.functions import dna, sizing
 from strandline.operators import count as C
 from strandline.operators import packed
 from strandline.operators import windows as W
-from strandline.plans import sql_functions
-from strandline.plans.runner import count_file, count_file_to_tsv
+from strandline.plans import golden, sql_functions
+from strandline.plans.runner import count_file, count_file_to_tsv, run_statistics
 from strandline.sources import sequences as S
 
 COMP = str.maketrans("ACGT", "TGCA")
 KS = [1, 2, 3, 5, 21, 31, 32, 33, 63, 64, 65, 96, 97, 127]
 
-# (input, k, order, counts, classes), fixed values.
-GOLDEN = [
-    (">test\nACGTACGTACGT\n", 5, "reference", {"ACGTA": 4, "CGTAC": 4}, 2),
-    (">a\nACG\nTAC\n", 4, "reference", {"ACGT": 1, "CGTA": 1, "GTAC": 1}, 3),
-    (">a\r\nACG\r\nTAC\r\n", 3, "reference", {"ACG": 1, "GTA": 1}, 2),
-    (">a\r\nACG\r\nTAC\r\n", 4, "reference", {}, 0),
-    (">a\nacgNNgtaUcca\n", 3, "reference", {"ACG": 1, "CCA": 1, "GTA": 1}, 3),
-    (">a\nACG>TAC\nGTA\n", 3, "reference", {"ACG": 1, "GTA": 1}, 2),
-    (">a\nAC\n", 3, "reference", {}, 0),
-    (">a\nAAC\n>b\nGGT\n", 3, "reference", {"AAC": 1, "ACC": 1}, 2),
-    (">a\nAACGTT\n", 1, "reference", {"A": 4, "C": 2}, 2),
-    (">a\n;cat\nACG\n", 3, "reference", {"ACG": 1, "ATA": 1, "ATG": 1, "GTA": 1}, 3),
-    ("@r1\nACGTN\n+\n@@III\n@r2\nTTACG\n+r2\nIIIII\n", 3, "reference", {"ACG": 3, "GTA": 1, "TAA": 1}, 3),
-    ("@r1\nACG\nTAC\n+\nIII\nIII\n@r2\nGGG\n+\nIII\n", 3, "reference", {"ACG": 1, "CCC": 1}, 2),
-    ("@r1\nACG\n+\nIII\n\njunk\n@r2\nGGG\n+\nIII", 3, "reference", {"ACG": 1, "CCC": 1}, 2),
-    ("@r1\nACG\nTAC\n+\n@II\nIII\n@r2\nGGG\n+\nIII\n", 3, "reference", {"ACG": 1}, 1),
-    (">a\n" + "A" * 259, 5, "reference", {"AAAAA": 255}, 1),
-    (">a\n" + "A" * 260, 5, "reference", {"AAAAA": 256}, 1),
-    (">a\nAGCGGAATCATCTCGAGTGGGATGCATCGTGTC\n", 33, "reference", {"GACACGATGCATCCCACTCGAGATGATTCCGCT": 1}, 1),
-    (">a\nAGCGGAATCATCTCGAGTGGGATGCATCGTGTC\n", 33, "lex", {"AGCGGAATCATCTCGAGTGGGATGCATCGTGTC": 1}, 1),
-]
+GOLDEN = [g[1:] for g in golden.GOLDEN]
 
 
 def rc(w):
@@ -118,7 +98,7 @@ def test_headers_and_errors(spark, tmp_path):
     with pytest.raises(TypeError):
         count_file(spark, str(p), "21")
     with pytest.raises(ValueError):
-        C.count_kmers(rows := S.read_fasta(spark, str(p)), 40, path="packed")
+        C.count_kmers(rows := S.read_fasta(spark, str(p)), 40, path="other")
     with pytest.raises(ValueError):
         C.count_kmers(rows, 4, order="other")
 
@@ -130,8 +110,10 @@ def test_counts_by_brute_force(spark, k):
     for order in dna.ORDERS:
         want = Counter(canon(w, order) for s in seqs[:-3] for w in words(s, k)) + Counter(canon("ACGT"[i : i + k], order) for i in range(5 - k))
         assert counts(C.count_kmers(df, k, order, path="text", chunk=37)) == want
-        if k <= 31:
-            assert counts(packed.count_packed(df, k, chunk=29)) == want
+        assert counts(packed.count_packed(df, k, order=order, chunk=29, spread=5)) == want
+    classes = {tuple(r) for r in C.count_classes(df, k).collect()}
+    assert classes == {tuple(r) for r in C.count_classes(df, k, path="text", chunk=11).collect()}
+    assert {w for w, *_ in classes} == {v4(w)[0] for s in [*seqs[:-3], "ACGT"] for w in words(s, k)}
 
 
 def test_symmetries(spark):
@@ -182,7 +164,38 @@ def test_invariances(spark):
 def test_codes():
     base = np.frombuffer(b"\0\1\2\3\4\3\2", np.uint8)
     f, r = packed.codes(base, 2)
-    assert packed.decode(f, 2).to_pylist() == ["AC", "CG", "GT", "TG"] and packed.decode(r, 2).to_pylist() == ["GT", "CG", "AC", "CA"]
+    assert f[:3].tolist() == [1, 6, 11] and r[:3].tolist() == [11, 6, 1]
+    for k in KS:
+        w = "".join(random.Random(k).choice("ACGT") for _ in range(k + 2))
+        base = packed._CODE[np.frombuffer(w.encode(), np.uint8)]
+        want = [w[i : i + k] for i in range(3)]
+        for keys in (False, True):
+            own, back = packed.words(base, k, keys)
+            assert packed.spell(own, k, keys).to_pylist() == want and packed.spell(back, k, keys).to_pylist() == [rc(x) for x in want]
+        assert packed.words(base[: k - 1], k)[0][0].size == 0
+
+
+def test_slices_and_parts(spark, monkeypatch):
+    """Windows across slices, parts merged alone and together, and pieces of one long text."""
+    seqs = ["".join(random.Random(3).choice("ACGT") for _ in range(5000)) + "N" + "A" * 700, "ACGTTGCA" * 90]
+    for k in (3, 13, 40):
+        want = Counter(canon(w) for s in seqs for w in words(s, k))
+        for step, merge in ((64, 1), (1000, 100)):
+            monkeypatch.setattr(packed, "SLICE", step)
+            monkeypatch.setattr(packed, "MERGE", merge)
+            assert counts(packed.count_packed(frame(spark, seqs), k, size=1)) == want
+            assert counts(packed.count_packed(frame(spark, seqs), k, chunk=77, spread=3, partitions=2)) == want
+
+
+def test_long_run_is_cut_in_one_walk(spark):
+    """Eight million bases: by position each piece would be found from the start."""
+    import time
+
+    df = frame(spark, ["ACGGT" * 1_600_000])
+    began = time.time()
+    assert {r.w: r["n"] for r in C._distinct(W.windows(df, 12)).collect()} == Counter(("ACGGT" * 4)[i : i + 12] for i in range(5)) | {("ACGGT" * 4)[i : i + 12]: 1_600_000 - (2 if i < 4 else 3) for i in range(5)}
+    assert counts(C.count_kmers(df, 12, spread=4)) == {w: n for w, n in counts(C.count_kmers(df, 12, path="text")).items()}
+    assert time.time() - began < 90
 
 
 def test_tsv_cli_and_sql(spark, tmp_path):
@@ -226,3 +239,47 @@ def test_read_sequences_streams_fastq(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(S, "read_fastq", None)  # holds a file as one row
     assert sorted((r.file, r.header, r.seq) for r in S.read_sequences(spark, str(d)).collect()) == want
     assert want and sum(r["count"] for r in count_file(spark, str(d / "x.fq"), 2).collect()) == 5
+
+
+def test_fastq_blocks(tmp_path):
+    """Any block size gives the records that a walk line by line gives."""
+    import io
+
+    r = random.Random(8)
+    for n in range(40):
+        lines = [r.choice(["@h", "@", "ACGT" * r.randrange(9), "+", "", "I@I", "é@", "@\r"]) for _ in range(r.randrange(30))]
+        data = "\n".join(lines).encode() + r.choice([b"", b"\n", b"\xff\n@\xff\nA\xff"])
+        walk, want = io.BytesIO(data), []
+        while line := walk.readline():
+            if line[:1] == b"@":
+                seq = walk.readline()
+                walk.readline(), walk.readline()
+                want.append(tuple(x.removesuffix(b"\n").decode("utf-8", "replace") for x in (line[1:], seq)))
+        for block in (1, 7, 1 << 20):
+            assert [p for h, s in S._records(io.BytesIO(data), block) for p in zip(h.to_pylist(), s.to_pylist())] == want
+
+
+def test_run_statistics(spark, tmp_path):
+    p = tmp_path / "a.fq.gz"
+    p.write_bytes(gzip.compress(b"@r\n" + b"A" * 260 + b"\n+\n" + b"I" * 260 + b"\n"))
+    r = run_statistics(spark, str(p), 33).first()
+    assert (r.k, r.words, r.entry_bytes, r.format, r.gzip, r.estimated_kmers, r.capacity) == (33, 2, 20, "fastq", True, 1_000_000, 1 << 21)
+    assert (r.classes, r.windows, r.load_factor) == (1, 228, 1 / (1 << 21))
+
+
+def test_one_record(spark, tmp_path):
+    from strandline.plans.queries import one_record
+
+    seqs = ["".join(random.Random(i).choice("abcdefg ") for _ in range(60)) for i in range(30)]
+    spark.createDataFrame(list(enumerate(seqs)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    whole = "".join(seqs).replace(" ", "").upper().translate(str.maketrans(S.LETTERS, S.BASES))
+    assert counts(one_record(spark, str(tmp_path))) == Counter(canon(w) for w in words(whole, 21))
+
+
+def test_cli_counts(spark, tmp_path):
+    from strandline import cli
+
+    p = tmp_path / "a.fa"
+    p.write_text(">t\nACGTACGTACGT\n")
+    assert cli.main([str(p), "5", str(tmp_path / "out")]) == 0
+    assert sorted(r.value for r in spark.read.text(str(tmp_path / "out")).collect()) == ["ACGTA\t4", "CGTAC\t4"]
