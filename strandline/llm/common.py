@@ -2,51 +2,22 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.scratch import drop, shared_dir
+
 WS = " \t\n\x0b\x0c\r"
 #: Java and RE2 class of what separates words.
 WORD_RE = r"[^\x20\x09-\x0D]+"
 
-_roots: dict[str, str] = {}
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A folder of this session below ``spark.checkpoint.dir``; a local one only where that is unset and the master is local."""
-    app = spark.sparkContext.applicationId
-    if app not in _roots:
-        base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-        if not base:
-            if not spark.sparkContext.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-            base = "file://" + tempfile.mkdtemp(prefix="strandline-")
-        _roots[app] = f"{base.rstrip('/')}/strandline-{uuid.uuid4().hex[:12]}"
-        atexit.register(_forget, spark, _roots[app])
-    return _roots[app]
-
-
-def _forget(spark: SparkSession, path: str) -> None:
-    try:
-        drop(spark, path)
-    except Exception:  # the session has ended before
-        pass
-
-
-def drop(spark: SparkSession, path: str) -> None:
-    """Deletes a folder through the file system that owns it."""
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-
-
 class Stored:
     """A DataFrame written to the shared folder and read again: lineage ends there, so a lost executor costs a re-read."""
 

@@ -7,12 +7,18 @@ looked at are those of the shortest windows with ``min_words`` words, forwards f
 line: a run with that many words occurs earlier if and only if all such windows inside it do, and they cover it, so
 their union is the union of all maximal repeated runs. The lines of windows with an earlier copy are deleted.
 
+``maximal_runs`` lists what the intervals reveal: windows that follow each other in two texts at the same distance are
+one run, as long as the text and the first copy of its windows agree. ``repeated_runs`` merges these within each text.
+
+A line's id has 128 bits, two hashes with different seeds. Tables that are grouped by a line or an interval are written
+before they are joined by it, so that the join alone owns its shuffle and a line with very many copies is split.
+
 Lines that occur once take no part, and stretches of repeated lines with too few words leave at once. "Earlier" goes
 by key (nulls first), then by a hash of the text, then by line.
 
 Defined cases: a null text is an empty one; rows that are equal in key and text are one text and are treated alike;
 runs may overlap within a text; a text whose lines all go becomes empty; an empty table gives no rows; other columns
-pass unchanged.
+pass unchanged, whatever their names, but for those that have the names of the two counts, which they give way to.
 """
 
 from __future__ import annotations
@@ -20,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD_RE, Stored, text_or_empty
+from .common import WORD_RE, Stored, spare, text_or_empty
 
 #: Words that a repeated run has at least.
 MIN_WORDS = 50
@@ -28,18 +34,20 @@ MIN_WORDS = 50
 
 def _lines(df: DataFrame, key: str, text: str) -> DataFrame:
     rows = df.select(F.col(key).alias("d"), F.xxhash64(text_or_empty(text)).alias("t"), F.posexplode(F.split(text_or_empty(text), "\n", -1)).alias("pos", "line"))
-    return rows.select("d", "t", "pos", F.xxhash64("line").alias("h"), F.regexp_count("line", F.lit(WORD_RE)).alias("w"))
+    return rows.select("d", "t", "pos", F.struct(F.xxhash64("line").alias("a"), F.xxhash64(F.lit("line"), "line").alias("b")).alias("h"), F.regexp_count("line", F.lit(WORD_RE)).alias("w"))
 
 
 def _stretches(lines: DataFrame, min_words: int) -> DataFrame:
     """(d, t, start, h, w, sum): each stretch of lines that all occur elsewhere; sum is the running sum of w over the text."""
     place = F.struct(F.col("d"), F.col("t"), F.col("pos"))
-    repeated = lines.groupBy("h").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a != b").select("h")
-    live = lines.join(repeated, "h").dropDuplicates(["d", "t", "pos"])
+    repeated = Stored(lines.groupBy("h").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a != b").select("h"), "repeated").df
+    live = lines.hint("merge").join(repeated.hint("merge"), "h").dropDuplicates(["d", "t", "pos"])
     order = Window.partitionBy("d", "t").orderBy("pos")
     live = live.withColumn("g", F.col("pos") - F.row_number().over(order)).withColumn("sum", F.sum("w").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     out = live.groupBy("d", "t", "g").agg(F.min("pos").alias("start"), F.sum("w").alias("words"), F.sort_array(F.collect_list(F.struct("pos", "h", "w", "sum"))).alias("a"))
-    return out.where(F.col("words") >= min_words).select("d", "t", "start", F.col("a.h").alias("h"), F.col("a.w").alias("w"), F.col("a.sum").alias("sum"))
+    # Not a.h and so on: the planner holds those for cheap and would take the whole array apart again at each use.
+    apart = [F.expr(f"transform(a, x -> x.{n})").alias(n) for n in ("h", "w", "sum")]
+    return out.where(F.col("words") >= min_words).select("d", "t", "start", *apart)
 
 
 def _search(test: str, lo: str, hi: str) -> str:
@@ -56,8 +64,9 @@ def _ranked(spots: DataFrame, by: list[str]) -> tuple[DataFrame, Stored]:
     return spots.join(ranks.df, by), ranks
 
 
-def repeated_runs(df: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """(d, t, runs): for each text with deleted lines the sorted array of (first, last) line numbers, from 0, of its deleted runs."""
+def maximal_runs(df: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+    """(d, t, sid, first, last, of): each run of lines of a text (key d, hash t) that is there before, from line ``first`` to
+    ``last``, counted from 0; ``of`` is the place (d, t, pos) of its first copy. ``sid`` numbers the stretch it lies in."""
     lines = Stored(_lines(df, key, text), "lines")
     base = _stretches(lines.df, min_words)
     # The shortest windows forwards from i (f lines) and backwards from i (b lines) with enough words; 0: none.
@@ -91,30 +100,46 @@ def repeated_runs(df: DataFrame, key: str = "doc_id", text: str = "text", min_wo
     found = f"filter(concat(transform(f, (m, i) -> {named('i', 'm')}), transform(b, (m, i) -> {named('(i - m + 1)', 'm')})), x -> x is not null)"
     wins = state.df.select("sid", "d", "t", "start", F.explode(F.expr(found)).alias("v")).select("sid", "d", "t", "start", F.struct("d", "t", (F.col("start") + F.col("v.i")).alias("pos")).alias("place"), "v.*")
     wins = Stored(wins.distinct(), "windows")
-    first = wins.df.groupBy("m", "x", "y").agg(F.min("place").alias("a"), F.max("place").alias("z")).where("a != z").select("m", "x", "y", "a")
-    later = wins.df.join(first, ["m", "x", "y"]).where("place != a").select("d", "t", "sid", (F.col("start") + F.col("i")).alias("lo"), (F.col("start") + F.col("i") + F.col("m")).alias("hi"))
-    order = Window.partitionBy("d", "t", "sid").orderBy("lo", "hi")
-    seen = F.max("hi").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    later = later.withColumn("new", F.when(seen >= F.col("lo"), 0).otherwise(1)).withColumn("g", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    runs = later.groupBy("d", "t", "sid", "g").agg(F.min("lo").alias("first"), (F.max("hi") - 1).alias("last"))
-    out = Stored(runs.groupBy("d", "t").agg(F.sort_array(F.collect_list(F.struct("first", "last"))).alias("runs")), "runs")
-    state.drop()
-    wins.drop()
+    first = Stored(wins.df.groupBy("m", "x", "y").agg(F.min("place").alias("a"), F.max("place").alias("z")).where("a != z").select("m", "x", "y", "a"), "intervals")
+    later = wins.df.hint("merge").join(first.df.hint("merge"), ["m", "x", "y"]).where("place != a").select("d", "t", "sid", (F.col("start") + F.col("i")).alias("lo"), (F.col("start") + F.col("i") + F.col("m")).alias("hi"), "a")
+    later = later.withColumn("far", F.col("a.pos") - F.col("lo"))
+    runs = _islands(later, ["d", "t", "sid", F.col("a.d").alias("od"), F.col("a.t").alias("ot"), "far"])
+    out = Stored(runs.select("d", "t", "sid", "first", "last", F.struct(F.col("od").alias("d"), F.col("ot").alias("t"), (F.col("first") + F.col("far")).alias("pos")).alias("of")), "matches")
+    for old in (state, wins, first):
+        old.drop()
     return out.df
 
 
+def _islands(spans: DataFrame, by: list) -> DataFrame:
+    """(by..., first, last): the spans from lo to hi - 1, merged where they overlap or touch."""
+    spans = spans.select(*by, "lo", "hi")
+    names = spans.columns[:-2]
+    order = Window.partitionBy(*names).orderBy("lo", "hi")
+    seen = F.max("hi").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    spans = spans.withColumn("new", F.when(seen >= F.col("lo"), 0).otherwise(1)).withColumn("g", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    return spans.groupBy(*names, "g").agg(F.min("lo").alias("first"), (F.max("hi") - 1).alias("last")).drop("g")
+
+
+def repeated_runs(df: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+    """(d, t, runs): for each text with deleted lines the sorted array of (first, last) line numbers, from 0, of its deleted runs."""
+    found = maximal_runs(df, key, text, min_words)
+    runs = _islands(found.select("d", "t", "sid", F.col("first").alias("lo"), (F.col("last") + 1).alias("hi")), ["d", "t", "sid"])
+    return Stored(runs.groupBy("d", "t").agg(F.sort_array(F.collect_list(F.struct("first", "last"))).alias("runs")), "runs").df
+
+
 def dedup_lines(df: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, lines: str = "n_lines", removed: str = "n_removed") -> DataFrame:
     """The rows of df with the later copies of repeated runs cut out of their text, and counts of their lines and of those removed."""
     runs = repeated_runs(df, key, text, min_words)
     names = [c for c in df.columns if c not in (lines, removed)]
+    d, t, h, found, split = spare([*names, lines, removed], "_d", "_t", "_h", "_runs", "_lines")
     # Merged at every size: the runs grow with the table, so they are never a side to broadcast.
-    r = runs.select(F.col("d").alias("_d"), F.col("t").alias("_t"), F.col("runs").alias("_runs")).hint("merge")
-    joined = df.select(*names, F.xxhash64(text_or_empty(text)).alias("_h"))
-    joined = joined.join(r, joined[key].eqNullSafe(r["_d"]) & (joined["_h"] == r["_t"]), "left")
-    joined = joined.withColumn("_lines", F.split(text_or_empty(text), "\n", -1))
+    r = runs.select(F.col("d").alias(d), F.col("t").alias(t), F.col("runs").alias(found)).hint("merge")
+    joined = df.select(*names, F.xxhash64(text_or_empty(text)).alias(h))
+    joined = joined.join(r, joined[key].eqNullSafe(r[d]) & (joined[h] == r[t]), "left")
+    joined = joined.withColumn(split, F.split(text_or_empty(text), "\n", -1))
     # What stands before each deleted run, and after the last.
-    before = "transform(_runs, (x, j) -> slice(_lines, if(j = 0, 0, _runs[j - 1].last + 1) + 1, x.first - if(j = 0, 0, _runs[j - 1].last + 1)))"
-    last = "slice(_lines, _runs[size(_runs) - 1].last + 2, size(_lines) - _runs[size(_runs) - 1].last - 1)"
-    kept = F.expr(f"if(_runs is null, `{text}`, array_join(concat(flatten({before}), {last}), '\n'))")
-    gone = F.expr("if(_runs is null, 0, aggregate(_runs, 0, (s, x) -> s + x.last - x.first + 1))").cast("long")
-    return joined.select(*[kept.alias(c) if c == text else F.col(c) for c in names], F.size("_lines").cast("long").alias(lines), gone.alias(removed))
+    before = f"transform({found}, (x, j) -> slice({split}, if(j = 0, 0, {found}[j - 1].last + 1) + 1, x.first - if(j = 0, 0, {found}[j - 1].last + 1)))"
+    last = f"slice({split}, {found}[size({found}) - 1].last + 2, size({split}) - {found}[size({found}) - 1].last - 1)"
+    kept = F.expr(f"if({found} is null, `{text}`, array_join(concat(flatten({before}), {last}), '\n'))")
+    gone = F.expr(f"if({found} is null, 0, aggregate({found}, 0, (s, x) -> s + x.last - x.first + 1))").cast("long")
+    return joined.select(*[kept.alias(c) if c == text else F.col(c) for c in names], F.size(split).cast("long").alias(lines), gone.alias(removed))
