@@ -78,12 +78,10 @@ from n
 """
 
 SQL["op2_warc_index"] = """
-with p as (select page_id, encode(coalesce(html, '')) as b from pages),
-d as (select page_id, octet_length(b) as n, sha256(b) as h from p),
-f as (select h, min(page_id) as least from d where n >= 100 group by h)
-select page_id, cast(n as bigint) as payload_bytes, d.h as payload_digest, case when n >= 100 and page_id != least then 'revisit' else 'response' end as record_type,
-  case when n >= 100 and page_id != least then least end as refers_to
-from d left join f on d.h = f.h
+with p as (select page_id, url, encode(coalesce(html, '')) as b from pages),
+d as (select page_id, url, octet_length(b) as n, sha256(b) as h from p),
+f as (select *, n >= 100 and row_number() over (partition by h order by page_id nulls last, url nulls first) > 1 as again, min(page_id) over (partition by h) as least from d)
+select page_id, cast(n as bigint) as payload_bytes, h as payload_digest, case when again then 'revisit' else 'response' end as record_type, case when again then least end as refers_to from f
 """
 
 #: The exponent has a closed form for a limit on repetition without a budget.

@@ -1,7 +1,11 @@
 """WARC archives with a two-level capture index.
 
 Writing: each task writes one archive, a gzip member per record, to the shared folder. Among records with equal
-payloads of ``LEAST_DEDUP`` bytes or more the one with the smallest id is a response and the others are revisits of it.
+payloads of ``LEAST_DEDUP`` bytes or more one with the smallest id is the response and all others are revisits of it.
+Payloads stay where they are read: digests alone are counted, and a bitmap of fixed size marks those that occur twice.
+Rows it doesn't mark are written by the tasks that read them. Of the others, whose revisits need no payload, each task
+sends at most one payload per digest, so a payload with any number of copies is in no one's way. A digest marked by
+chance goes the second way, to the same result.
 
 Index: keys are URLs with their host reversed, then the id. Lines are sorted over all tasks by range partitioning, cut
 into blocks of ``BLOCK_LINES``, and each block is one compressed member of the task's index shard. A sparse directory
@@ -15,7 +19,8 @@ Files are named by attempt and listed by what the attempts that counted returned
 only a file that nothing points to. Paths may be of any file system that pyarrow knows.
 
 Defined cases: a null payload is empty, and so is a null URL; ids may repeat and be null, their records are told apart
-by place; smaller payloads are all responses; a key that is not there gives no row; an empty table gives no rows.
+by place; the response of a payload is the first by id (nulls last), then URL, and of equal rows one; without any id
+its revisits refer to none; smaller payloads are all responses; a key that is not there gives no row; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -29,15 +34,18 @@ from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from urllib.parse import urlsplit
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Stored, drop, shared_dir
 
 LEAST_DEDUP = 100
+#: Bits of the broadcast bitmap of digests that occur twice.
+MARKS = 1 << 26
 BLOCK_LINES = 1000
 SEP = "\x1f"
 #: Bytes that two records may lie apart to be read at once.
@@ -70,17 +78,17 @@ def _open(path: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
 
 
-def record(page: int | None, url: str | None, payload: bytes, digest: str, refers: int | None) -> bytes:
-    """One WARC record. A revisit keeps the HTTP header, whose Content-Length is that of the full payload, without the payload."""
-    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
-    block = http + (payload if refers is None else b"")
+def record(page: int | None, url: str | None, payload: bytes, digest: str, refers: int | None = None, revisit: bool = False, size: int | None = None) -> bytes:
+    """One WARC record. A revisit keeps the HTTP header, whose Content-Length is that of the full payload (``size``), without the payload."""
+    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload) if size is None else size}\r\n\r\n".encode()
+    block = http + (b"" if revisit else payload)
     lines = [
-        "WARC/1.1", f"WARC-Type: {'response' if refers is None else 'revisit'}", f"WARC-Record-ID: <urn:page:{'' if page is None else page}>", "WARC-Date: 2024-01-01T00:00:00Z",
+        "WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: <urn:page:{'' if page is None else page}>", "WARC-Date: 2024-01-01T00:00:00Z",
         f"WARC-Target-URI: {(url or '').translate({10: '%0A', 13: '%0D'})}", f"WARC-Payload-Digest: sha256:{digest}", f"WARC-Block-Digest: sha256:{hashlib.sha256(block).hexdigest()}",
         "Content-Type: application/http;msgtype=response", f"Content-Length: {len(block)}",
     ]
-    if refers is not None:
-        lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:page:{refers}>"]
+    if revisit:
+        lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:page:{'' if refers is None else refers}>"]
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
@@ -104,14 +112,40 @@ def parse_record(data: bytes) -> dict:
     return {"page": number("warc-record-id"), "type": f["warc-type"], "url": f["warc-target-uri"], "digest": f["warc-payload-digest"].removeprefix("sha256:"), "refers": number("warc-refers-to"), "payload": payload, "payload_bytes": size}
 
 
+def _mark(digest: Column) -> Column:
+    return F.xxhash64(digest).bitwiseAND(F.lit(MARKS - 1))
+
+
 def write_archives(df: DataFrame, folder: str, key: str = "page_id", url: str = "url", payload: str = "html", level: int = 1) -> DataFrame:
     """Writes every row's record and returns the capture lines (surt, id, file, offset, length, kind)."""
-    bytes_ = F.coalesce(F.col(payload).cast("binary"), F.lit(b""))
-    rows = df.select(F.col(key).cast("long").alias("id"), F.col(url).alias("url"), bytes_.alias("body"), F.sha2(bytes_, 256).alias("digest"))
-    big = F.length("body") >= LEAST_DEDUP
-    first = df.select(F.sha2(bytes_, 256).alias("digest"), F.col(key).cast("long").alias("id"), F.length(bytes_).alias("n")).where(F.col("n") >= LEAST_DEDUP)
-    first = first.groupBy("digest").agg(F.min("id").alias("least"), F.count("*").alias("copies")).where("copies > 1").select("digest", "least")
-    rows = rows.join(first.hint("merge"), "digest", "left").select("id", "url", "body", "digest", F.when(big & (F.col("id") != F.col("least")), F.col("least")).alias("refers"))
+    rows = df.select(F.col(key).cast("long").alias("id"), F.col(url).alias("url"), F.coalesce(F.col(payload).cast("binary"), F.lit(b"")).alias("body"))
+    rows = rows.select("id", "url", F.sha2("body", 256).alias("digest"), F.length("body").cast("long").alias("n"), "body")
+    keys = Stored(rows.where(F.col("n") >= LEAST_DEDUP).select("id", "url", "digest", "n"), "digests")
+    twice = keys.df.groupBy("digest").agg(F.count("*").alias("copies")).where("copies > 1").select(_mark(F.col("digest")).alias("mark"))
+    bits = np.zeros(MARKS // 8, np.uint8)
+    for r in twice.groupBy(F.bitmap_bucket_number(F.col("mark") + 1).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(F.col("mark") + 1)).alias("bits")).collect():  # at most 2**11 rows of 4 KB
+        bits[(r["bucket"] - 1) * 4096 : r["bucket"] * 4096] = np.frombuffer(r["bits"], np.uint8)
+    shared = df.sparkSession.sparkContext.broadcast(bits)
+
+    def marked(frame: DataFrame, want: bool) -> DataFrame:
+        def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            bits = shared.value
+            for b in batches:
+                at = b.column(b.num_columns - 1).to_numpy()
+                there = (bits[at >> 3] >> (at & 7) & 1).astype(bool) & (b.column(3).to_numpy() >= LEAST_DEDUP)
+                yield b.select(range(b.num_columns - 1)).filter(pa.array(there == want))
+
+        return frame.withColumn("mark", _mark(F.col("digest"))).mapInArrow(pick, frame.schema)
+
+    place = F.struct(F.col("id").isNull().alias("none"), "id", "url")
+    least = Stored(marked(keys.df, True).groupBy("digest").agg(F.min(place).alias("r")), "least")
+    alone = marked(rows, False).select("id", "url", "body", "digest", "n", F.lit(False).alias("revisit"), F.lit(None).cast("long").alias("refers"))
+    first = marked(rows, True).groupBy("digest").agg(F.min(place).alias("r"), F.first("body").alias("body"), F.first("n").alias("n"))
+    first = first.select("r.id", "r.url", "body", "digest", "n", F.lit(False).alias("revisit"), F.lit(None).cast("long").alias("refers"))
+    again = marked(keys.df, True).groupBy("digest", "id", "url", "n").agg(F.count("*").alias("copies")).hint("merge").join(least.df.hint("merge"), "digest")
+    again = again.withColumn("copies", F.col("copies") - F.when(F.col("id").eqNullSafe(F.col("r.id")) & F.col("url").eqNullSafe(F.col("r.url")), 1).otherwise(0)).where("copies > 0")
+    again = again.select("id", "url", F.lit(b"").alias("body"), "digest", "n", F.lit(True).alias("revisit"), F.col("r.id").alias("refers"), F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("_")).drop("_")
+    rows = alone.unionByName(first).unionByName(again)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name = f"{folder}/part-{uuid.uuid4().hex}.warc.gz"
@@ -125,9 +159,9 @@ def write_archives(df: DataFrame, folder: str, key: str = "page_id", url: str =
                     out = system.open_output_stream(path, compression=None)
                 got: list[tuple] = []
                 for r in part:
-                    member = gzip.compress(record(r["id"], r["url"], r["body"], r["digest"], r["refers"]), level, mtime=0)
+                    member = gzip.compress(record(r["id"], r["url"], r["body"], r["digest"], r["refers"], r["revisit"], r["n"]), level, mtime=0)
                     out.write(member)
-                    got.append((surt(r["url"]), r["id"], name, at, len(member), "response" if r["refers"] is None else "revisit"))
+                    got.append((surt(r["url"]), r["id"], name, at, len(member), "revisit" if r["revisit"] else "response"))
                     at += len(member)
                 if got:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*got), (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string()))], names=["surt", "id", "file", "offset", "length", "kind"])

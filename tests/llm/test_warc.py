@@ -12,10 +12,10 @@ def test_surt():
 
 
 def test_record_round_trip():
-    for refers in (None, 7):
-        r = m.parse_record(m.record(3, "http://a/\r\nx", b"<p>\r\n\r\n</p>", "d", refers))
-        assert (r["page"], r["refers"], r["payload_bytes"], r["type"]) == (3, refers, 11, "response" if refers is None else "revisit")
-        assert r["payload"] == (b"<p>\r\n\r\n</p>" if refers is None else b"") and r["url"] == "http://a/%0D%0Ax"
+    for refers, again in ((None, False), (7, True), (None, True)):
+        r = m.parse_record(m.record(3, "http://a/\r\nx", b"<p>\r\n\r\n</p>", "d", refers, again))
+        assert (r["page"], r["refers"], r["payload_bytes"], r["type"]) == (3, refers, 11, "revisit" if again else "response")
+        assert r["payload"] == (b"" if again else b"<p>\r\n\r\n</p>") and r["url"] == "http://a/%0D%0Ax"
 
 
 def test_archive_index_and_read(spark):
@@ -24,15 +24,14 @@ def test_archive_index_and_read(spark):
     rows = [(i, r.choice(["http://a.com/", "http://b.a.com/q", f"http://s{i % 9}.org/{i % 4}?z", None, "http://a.com/!"]), r.choice([*big, f"<p>{i}" * 30]), i) for i in range(400)]
     rows += [rows[0], (None, "http://a.com/", "q", 0), (-5, "http://a.com/", "y" * 100, 0)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string, offset int").repartition(3)
-    least = {}
-    for i, _, h, _ in rows:
-        if len((h or "").encode()) >= 100 and i is not None:
-            least[h] = min(i, least.get(h, i))
-    want = []
-    for i, _, h, _ in rows:
+    rows += [(-5, "http://a.com/", "y" * 100, 1)] * 2 + [(-5, "http://b.com/", "y" * 100, 1), (None, "u", "y" * 100, 1)] + [(None, "v", "n" * 200, i) for i in range(3)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, offset int").repartition(3)
+    want, met = [], {}
+    for i, u, h, _ in sorted(rows, key=lambda x: (x[0] is None, x[0] or 0, x[1] or "")):
         b = (h or "").encode()
-        again = h in least and i != least[h]
-        want.append((str(i), len(b), hashlib.sha256(b).hexdigest(), "revisit" if again else "response", str(least[h] if again else None)))
+        again = len(b) >= 100 and b in met
+        want.append((str(i), len(b), hashlib.sha256(b).hexdigest(), "revisit" if again else "response", str(met.setdefault(b, i) if again else None)))
+        met.setdefault(b, i)
     got = [(str(x.page_id), x.payload_bytes, x.payload_digest, x.record_type, str(x.refers_to)) for x in m.digest(df).collect()]
     assert sorted(got) == sorted(want)
     c = m.Captures(df, lines=7)
