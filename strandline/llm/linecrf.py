@@ -3,10 +3,14 @@
 Each line with a word gets binary features; Viterbi decoding labels the lines of a text content or boilerplate, and a
 text is kept if at least ``MIN_SHARE`` of its words stand in content lines and the plain rules don't fail it.
 
-The weights are trained here, on at most ``TRAIN_DOCS`` labelled documents (those whose hashed ids come first), with
-the label of a document standing for each of its lines. Everything else covers all rows and whole texts.
-
-Defined cases: a null or empty text has no words, fails the plain rules and is not kept; without labels all weights
+The weights are trained here, on at most ``TRAIN_DOCS`` labelled documents (those whose hashed ids come first). Labels
+are of documents, so those of their lines are found by rounds of fitting and decoding. At first a document's lines are
+content, but for those that plainly are not (notices, menus, rows of marks or symbols), if the share of content words
+then agrees with the document's label; else all of them have its label. In each round the lines get the labels that the
+field decodes, but for the plain ones, as long as that share agrees; else they keep their first ones. So labels change within documents, and
+the field learns how. Everything else covers all rows and whole texts.
+
+Defined cases: a key that has several texts is trained on with one of them, that with the least bits; a null or empty text has no words, fails the plain rules and is not kept; without labels all weights
 are zero and every line counts as content; a repeated row is judged once for each copy; columns besides the key and
 the text pass unchanged, whatever their names.
 """
@@ -27,10 +31,21 @@ from .textvec import SPACE, U, Words, mix, per_text, pieces, window_hashes
 #: Bound on the labelled documents that the weights are fitted on.
 TRAIN_DOCS = 2000
 MIN_SHARE = 0.5
+#: Rounds of fitting and decoding, and the lines up to which texts are decoded side by side.
+ROUNDS, SIDE = 3, 256
 BOILERPLATE, CONTENT = 0, 1
 FEATURES = (
     "bias", "words<3", "words<8", "words<20", "words<50", "words>=50", "symbols>0.05", "symbols>0.3", "upper>0.5", "marks>0.3", "bars>0.2", "repeats>0.3",
-    "equal to an earlier line", "ends a sentence", "digits>0.3", "first", "last",
+    "equal to an earlier line", "ends a sentence", "digits>0.3", "first", "last", "notice>0", "notice>0.2", "no sign",
+)
+#: Signs of boilerplate; a line with none of them has "no sign".
+SIGNS = ("symbols>0.05", "upper>0.5", "marks>0.3", "bars>0.2", "repeats>0.3", "notice>0")
+#: Features of lines that plainly are no content.
+PLAIN = ("symbols>0.3", "marks>0.3", "bars>0.2", "notice>0.2")
+#: Words of notices and menus, in small letters, with a capital or in capitals, and with a point or so after them.
+NOTICE = (
+    "license", "licensed", "licence", "copyright", "rights", "reserved", "trademark", "trademarks", "terms", "privacy", "policy", "cookie", "cookies", "disclaimer",
+    "subscribe", "newsletter", "unsubscribe", "login", "logout", "advertisement", "sponsored", "sitemap", "navigation", "warranty", "permission", "released",
 )
 
 _SYMBOL = np.isin(np.arange(256), list(b"#*$%&|<>"))
@@ -42,6 +57,15 @@ _DIGIT = np.zeros(256, bool)
 _DIGIT[48:58] = True
 
 
+def _notice() -> np.ndarray:
+    forms = [f"{w}{p}" for word in NOTICE for w in (word, word.capitalize(), word.upper()) for p in ("", ".", ",", ":", ";", ")")] + ["©", "(c)", "(C)"]
+    data = " ".join(forms).encode()
+    return np.sort(Words(np.frombuffer(data, np.uint8), np.array([0, len(data)]), lower=False).hashes())
+
+
+_NOTICE = _notice()
+
+
 @dataclass
 class Chunk:
     """Counts of some texts and the features of their lines; ``cut`` has each text's range of lines."""
@@ -103,16 +127,21 @@ class Chunk:
 
         symbols, alpha, digits = of_line(_SYMBOL[buf]), of_line(_ALPHA[buf]), of_line(_DIGIT[buf])
         s = np.concatenate([[0], np.cumsum(covered)])
+        near = np.minimum(np.searchsorted(_NOTICE, h), len(_NOTICE) - 1)
+        seen = np.concatenate([[0], np.cumsum(_NOTICE[near] == h)])
+        notices = seen[first_word + words] - seen[first_word]
         last_byte = buf[w.end[first_word + words - 1] - 1] if len(start) else np.zeros(0, np.uint8)
         tests = (
             np.ones(len(start), bool), words < 3, (words >= 3) & (words < 8), (words >= 8) & (words < 20), (words >= 20) & (words < 50), words >= 50,
             share(symbols, words) > 0.05, share(symbols, words) > 0.3, share(of_line(_UPPER[buf]), alpha) > 0.5, share(of_line(buf == 33), words) > 0.3,
             share(of_line(buf == 124), words) > 0.2, share(s[first_word + words] - s[first_word], words) > 0.3, ~firsts, np.isin(last_byte, list(b".!?")),
-            share(digits, digits + alpha) > 0.3, no == 0, np.append(owner[1:] != owner[:-1], True)[: len(owner)],
+            share(digits, digits + alpha) > 0.3, no == 0, np.append(owner[1:] != owner[:-1], True)[: len(owner)], notices > 0, share(notices, words) > 0.2,
         )
         bits = np.zeros(len(start), np.uint32)
         for i, t in enumerate(tests):
             bits |= t.astype(np.uint32) << np.uint32(i)
+        signs = np.uint32(sum(1 << FEATURES.index(f) for f in SIGNS))
+        bits |= (bits & signs == 0).astype(np.uint32) << np.uint32(FEATURES.index("no sign"))
         return Chunk(
             n_words=n_words,
             word_chars=per_text(~SPACE[buf] & ((buf & 0xC0) != 0x80), offs),
@@ -150,20 +179,22 @@ class Model:
         return self.decode(bits, np.array([0, len(bits)]))
 
     def decode(self, bits: np.ndarray, cut: np.ndarray) -> np.ndarray:
-        """The best labels of the lines of several texts."""
+        """The best labels of the lines of several texts: short ones side by side, line after line, long ones one by one."""
         kinds, code = np.unique(bits, return_inverse=True)
-        e = (expand(kinds) @ self.emit)[code].tolist()
+        e = (expand(kinds) @ self.emit)[code].reshape(-1, 2)
+        out = np.empty(len(bits), np.int8)
+        size = np.diff(cut)
+        self._side(e, cut[:-1], size, np.flatnonzero((size > 0) & (size <= SIDE)), out)
         (m00, m01), (m10, m11) = self.move.tolist()
         s0, s1 = self.start.tolist()
-        out = np.empty(len(bits), np.int8)
-        for lo, hi in zip(cut[:-1].tolist(), cut[1:].tolist()):
-            if hi == lo:
-                continue
-            a, b = s0 + e[lo][0], s1 + e[lo][1]
+        for text in np.flatnonzero(size > SIDE).tolist():
+            lo, hi = int(cut[text]), int(cut[text + 1])
+            x = e[lo:hi].tolist()
+            a, b = s0 + x[0][0], s1 + x[0][1]
             back = []
-            for i in range(lo + 1, hi):
+            for x0, x1 in x[1:]:
                 c0, c1 = b + m10 >= a + m00, b + m11 >= a + m01
-                a, b = (b + m10 if c0 else a + m00) + e[i][0], (b + m11 if c1 else a + m01) + e[i][1]
+                a, b = (b + m10 if c0 else a + m00) + x0, (b + m11 if c1 else a + m01) + x1
                 back.append((c0, c1))
             y = int(b >= a)
             out[hi - 1] = y
@@ -172,6 +203,30 @@ class Model:
                 out[i] = y
         return out
 
+    def _side(self, e: np.ndarray, first: np.ndarray, size: np.ndarray, texts: np.ndarray, out: np.ndarray) -> None:
+        """Labels of the given texts, the longest first, so that at each line those that go on are the first ones."""
+        if not len(texts):
+            return
+        texts = texts[np.argsort(-size[texts], kind="stable")]
+        at, n = first[texts], size[texts]
+        going = np.searchsorted(-n, -np.arange(1, n[0] + 1), "right")  # texts with so many lines or more
+        a, b = self.start[0] + e[at, 0], self.start[1] + e[at, 1]
+        back = []
+        for t in range(1, int(n[0])):
+            k = going[t]
+            x, (p, q) = e[at[:k] + t], (a[:k], b[:k])
+            c0, c1 = q + self.move[1, 0] >= p + self.move[0, 0], q + self.move[1, 1] >= p + self.move[0, 1]
+            new = np.where(c0, q + self.move[1, 0], p + self.move[0, 0]) + x[:, 0], np.where(c1, q + self.move[1, 1], p + self.move[0, 1]) + x[:, 1]
+            a[:k], b[:k] = new
+            back.append((c0, c1))
+        y = (b >= a).astype(np.int8)
+        out[at + n - 1] = y
+        for t in range(int(n[0]) - 1, 0, -1):
+            k = going[t]
+            c0, c1 = back[t - 1]
+            y[:k] = np.where(y[:k] == 1, c1, c0)
+            out[at[:k] + t - 1] = y[:k]
+
 
 def likelihood(model: Model, x: np.ndarray, y: np.ndarray, size: np.ndarray) -> tuple[float, Model]:
     """Log likelihood of padded sequences (x: sequences by lines of features) and its gradient, by forward and backward sums."""
@@ -199,10 +254,12 @@ def likelihood(model: Model, x: np.ndarray, y: np.ndarray, size: np.ndarray) ->
     return float(score), Model(np.einsum("ntf,nty->fy", x, true - post), pair, (true[:, 0] - post[:, 0]).sum(0))
 
 
-def fit(sequences: list[tuple[np.ndarray, int]], rounds: int = 60, rate: float = 0.2, decay: float = 1e-3, longest: int = 256) -> Model:
-    """Adam on the mean log likelihood. A sequence over ``longest`` lines counts as several; no line is left out."""
-    parts = [(b[i : i + longest], y) for b, y in sequences for i in range(0, len(b), longest)]
-    parts.sort(key=lambda p: (len(p[0]), p[1], p[0].tobytes()))
+def fit(sequences: list[tuple[np.ndarray, int | np.ndarray]], rounds: int = 60, rate: float = 0.2, decay: float = 1e-3, longest: int = 256) -> Model:
+    """Adam on the mean log likelihood of labels, one for all lines of a sequence or one for each. A sequence over
+    ``longest`` lines counts as several; no line is left out."""
+    full = [(b, np.broadcast_to(np.asarray(y, np.int8), len(b))) for b, y in sequences]
+    parts = [(b[i : i + longest], y[i : i + longest]) for b, y in full for i in range(0, len(b), longest)]
+    parts.sort(key=lambda p: (len(p[0]), p[1].tobytes(), p[0].tobytes()))
     batches = []
     i = 0
     while i < len(parts):
@@ -213,7 +270,7 @@ def fit(sequences: list[tuple[np.ndarray, int]], rounds: int = 60, rate: float =
         size = np.array([len(p[0]) for p in parts[i:j]])
         x, y = np.zeros((j - i, size.max(), len(FEATURES))), np.zeros((j - i, size.max()), np.int8)
         for k, (b, label) in enumerate(parts[i:j]):
-            x[k, : len(b)], y[k] = expand(b), label
+            x[k, : len(b)], y[k, : len(b)] = expand(b), label
         batches.append((x, y, size))
         i = j
     model = Model.zero()
@@ -234,23 +291,49 @@ def fit(sequences: list[tuple[np.ndarray, int]], rounds: int = 60, rate: float =
     return model
 
 
+def fit_documents(documents: list[tuple[np.ndarray, np.ndarray, int]], min_share: float = MIN_SHARE, rounds: int = ROUNDS) -> Model:
+    """The weights from (bits and words of the lines, label) of documents, whose lines' labels are found on the way."""
+    plain = np.uint32(sum(1 << FEATURES.index(f) for f in PLAIN))
+
+    def agrees(y: np.ndarray, words: np.ndarray, label: int) -> bool:
+        return bool(words[y == CONTENT].sum() >= min_share * words.sum()) == (label == CONTENT)
+
+    firsts = []
+    for bits, words, label in documents:
+        y = np.where(bits & plain, BOILERPLATE, CONTENT).astype(np.int8)
+        firsts.append(y if agrees(y, words, label) else np.full(len(bits), label, np.int8))
+    labels = firsts
+    for _ in range(rounds):
+        model = fit([(bits, y) for (bits, _, _), y in zip(documents, labels)])
+        new = []
+        for (bits, words, label), first in zip(documents, firsts):
+            y = np.where((bits & plain != 0) & (first == BOILERPLATE), BOILERPLATE, model.viterbi(bits)).astype(np.int8)
+            new.append(y if agrees(y, words, label) else first)
+        if all(np.array_equal(a, b) for a, b in zip(new, labels)):
+            break
+        labels = new
+    return model
+
+
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", quality: str = "quality", most: int = TRAIN_DOCS) -> Model:
-    """Fits the weights on at most ``most`` documents with a label 0 or 1; the driver holds four bytes a line of them."""
+    """Fits the weights on at most ``most`` documents with a label 0 or 1; the driver holds twelve bytes a line of them."""
     pick = labels.where(F.col(quality).isin(0, 1) & F.col(key).isNotNull()).groupBy(key).agg(F.min(quality).cast("int").alias("_y"))
     pick = pick.orderBy(F.xxhash64(key), key).limit(most).select(F.col(key).alias("_k"), "_y")
     rows = docs.select(F.col(key).alias("_k"), F.col(text).alias("_t")).join(F.broadcast(pick), "_k").select("_k", "_y", "_t")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            y, k, bits = b.column(1).to_numpy(), b.column(0), []
+            y, k, bits, words = b.column(1).to_numpy(), b.column(0), [], []
             for lo, hi, buf, offs in pieces(b.column(2)):
                 c = Chunk.of(buf, offs)
                 bits += [c.bits[i:j].tobytes() for i, j in zip(c.cut[:-1], c.cut[1:])]
-            yield pa.RecordBatch.from_arrays([k, pa.array(y, pa.int32()), pa.array(bits, pa.binary())], names=["_k", "_y", "bits"])
+                words += [c.line_words[i:j].tobytes() for i, j in zip(c.cut[:-1], c.cut[1:])]
+            yield pa.RecordBatch.from_arrays([k, pa.array(y, pa.int32()), pa.array(bits, pa.binary()), pa.array(words, pa.binary())], names=["_k", "_y", "bits", "words"])
 
-    got = rows.mapInArrow(run, f"_k {docs.schema[key].dataType.simpleString()}, _y int, bits binary").collect()
-    got.sort(key=lambda r: (r["_k"], bytes(r["bits"])))
-    return fit([(np.frombuffer(r["bits"], np.uint32), r["_y"]) for r in got])
+    got = rows.mapInArrow(run, f"_k {docs.schema[key].dataType.simpleString()}, _y int, bits binary, words binary")
+    got = got.groupBy("_k", "_y").agg(F.min(F.struct("bits", "words")).alias("x")).collect()  # a row for each document picked
+    got.sort(key=lambda r: (r["_k"], bytes(r["x"]["bits"])))
+    return fit_documents([(np.frombuffer(r["x"]["bits"], np.uint32), np.frombuffer(r["x"]["words"], np.int64), r["_y"]) for r in got])
 
 
 def label_lines(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:

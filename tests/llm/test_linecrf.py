@@ -69,6 +69,15 @@ def test_viterbi_is_the_best_path_and_sums_are_exact(seed):
     every = list(itertools.product((0, 1), repeat=n))
     best = max(every, key=lambda y: score(model, bits, y))
     assert tuple(model.viterbi(bits)) == best
+    cut = np.array([0, 0, *np.sort(r.integers(0, 60, 7)), 60, 60])
+    many = r.integers(0, 1 << len(m.FEATURES), 60).astype(np.uint32)
+    alone = np.concatenate([model.viterbi(many[i:j]) for i, j in zip(cut[:-1], cut[1:])])
+    assert model.decode(many, cut).tolist() == alone.tolist()
+    old, m.SIDE = m.SIDE, 3  # long texts, one by one
+    try:
+        assert model.decode(many, cut).tolist() == alone.tolist()
+    finally:
+        m.SIDE = old
     y = r.integers(0, 2, n)
     total = np.logaddexp.reduce([score(model, bits, z) for z in every])
     x, pad = m.expand(bits)[None], 3
@@ -104,3 +113,43 @@ def test_training_and_lines(spark):
     assert len(lines) == 24 and {x.line for x in lines} == set(range(6))
     assert m.train(docs, labels.limit(0)).emit.any() == False  # noqa: E712
     assert good
+
+
+def mixed(r, kind):
+    """Lines with their labels: prose with blocks of boilerplate inside, or boilerplate with little prose."""
+    words = "here is what some people say about many other things in this old town today".split()
+    prose = lambda: (" ".join(r.choice(words) for _ in range(r.randint(12, 25))).capitalize() + ".", 1)
+    junk = {
+        "menu": lambda: (" | ".join(r.choice(["Home", "About", "Contact", "Jobs", "News"]) for _ in range(4)), 0),
+        "notice": lambda: (r.choice(["Licensed under the terms of the town.", "All rights reserved.", "Copyright of the people, all rights reserved."]), 0),
+        "loud": lambda: (" ".join(r.choice(words).upper() + "!!" for _ in range(12)), 0),
+        "symbols": lambda: (" ".join(r.choice(words) + "$$$" for _ in range(12)), 0),
+    }
+    block = lambda n: [junk[k]() for k in [r.choice(list(junk))] for _ in range(n)]
+    if kind:
+        return [prose() for _ in range(r.randint(3, 6))] + block(r.randint(1, 3)) + [prose() for _ in range(r.randint(3, 6))] + block(r.randint(0, 2))
+    return block(r.randint(3, 6)) + [prose() for _ in range(r.randint(0, 1))] + block(r.randint(3, 6))
+
+
+def test_mixed_documents_get_both_labels(spark):
+    r = random.Random(6)
+    texts = [mixed(r, i % 3 != 0) for i in range(500)]
+    docs = spark.createDataFrame([(i, "\n".join(x for x, _ in t)) for i, t in enumerate(texts)] + [(0, "a\nb")] * 3, "doc_id long, text string").repartition(3)
+    model = m.train(docs, spark.createDataFrame([(i, int(i % 3 != 0)) for i in range(300)], "doc_id long, quality int"))
+    got = {}
+    for x in m.label_lines(docs.where("doc_id >= 300"), model).collect():
+        got.setdefault(x.doc_id, {})[x.line] = int(x.content)
+    pairs = [(texts[i][j][1], y) for i, t in got.items() for j, y in t.items()]
+    for label in (0, 1):
+        own = [y == label for want, y in pairs if want == label]
+        assert len(own) > 300 and sum(own) >= 0.95 * len(own)
+    both = [len(set(t.values())) == 2 for i, t in got.items() if len({y for _, y in texts[i]}) == 2]
+    assert len(both) > 100 and sum(both) >= 0.9 * len(both)
+    kept = {x.doc_id: x.n_content_words >= 0.5 * x.n_words for x in m.assess(docs.where("doc_id >= 300"), model).collect()}
+    assert sum(k == (i % 3 != 0) for i, k in kept.items()) >= 0.97 * len(kept)
+
+
+def test_very_long_texts(spark):
+    docs = spark.createDataFrame([(0, "word " * 300_000), (1, "a line of some words here.\n" * 100_000), (2, "\n" * 300_000)], "doc_id long, text string")
+    got = {x.doc_id: x for x in m.assess(docs, m.Model.zero()).collect()}
+    assert (got[0].n_words, got[1].n_lines, got[1].n_dup_lines, got[2].n_words) == (300_000, 100_000, 99_999, 0) and got[2].base_failed
