@@ -47,7 +47,7 @@ DEPTH = 6
 #: Bytes of text that ask together; a longer text asks alone.
 PACK = 1 << 24
 #: Positions handled at once.
-WINDOW = 1 << 20
+WINDOW = 1 << 19
 #: Asked grams in a range, and one of how many is looked at to find the bounds.
 RANGE, STEP = 400_000, 4096
 
@@ -255,15 +255,21 @@ def _texts(t: pa.Table) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, pa.R
             yield lo, hi, buf, offs, b
 
 
-def asked(t: pa.Table, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """The grams of a chunk's texts, in order, and how often each is in training texts."""
-    held, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, sorted, with the sums of their counts; as few copies at a time as can be."""
+    keys = np.concatenate([k for k, _ in parts])
+    order = np.argsort(keys)
+    keys = keys[order]
+    n = np.concatenate([n for _, n in parts])[order]
+    del order
+    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
+    return keys[first], np.add.reduceat(n, first) if len(keys) else n
 
-    def merge(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-        keys, at = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
-        return keys, np.bincount(at, np.concatenate([n for _, n in parts]), len(keys)).astype(np.int64)
 
-    parts, waiting = [], 0
+def asked(t: pa.Table, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """The grams of a chunk's texts, in order, and how often each is in training texts."""
+    held, waiting = (np.zeros(0, np.int64), np.zeros(0, np.int64)), 0
+    parts = []
     for lo, hi, buf, offs, b in _texts(t):
         x, first = _padded(buf, offs, depth)
         mark = np.zeros(len(x) + depth, np.int8)  # 2: no place to score, 1: held out
@@ -277,9 +283,30 @@ def asked(t: pa.Table, depth: int) -> tuple[np.ndarray, np.ndarray]:
             parts.append((v >> 1, np.where(v & 1, 0, n)))
             waiting += len(v)
         if waiting > 2 * WINDOW:
-            held, counts = merge([(held, counts), *parts])
-            parts, waiting = [], 0
-    return merge([(held, counts), *parts])
+            held, parts, waiting = _merged([held, *parts]), [], 0
+    return _merged([held, *parts])
+
+
+def _distinct(keys: np.ndarray) -> np.ndarray:
+    """The distinct keys by a sort; numpy's own function goes by a hash table here, and takes many times as long."""
+    keys = np.sort(keys)
+    return keys[np.append(True, keys[1:] != keys[:-1])] if len(keys) else keys
+
+
+def grams(t: pa.Table, depth: int) -> np.ndarray:
+    """The grams of a chunk's texts, in order."""
+    held, parts, waiting = np.zeros(0, np.int64), [], 0
+    for lo, hi, buf, offs, _ in _texts(t):
+        x, first = _padded(buf, offs, depth)
+        real = np.ones(len(x) + depth, bool)
+        for d in range(1, depth + 1):
+            real[first - d] = False
+        for at, k in _windows(x, depth):
+            parts.append(_distinct(k[real[at : at + len(k)]]))
+            waiting += len(parts[-1])
+        if waiting > 2 * WINDOW:
+            held, parts, waiting = _distinct(np.concatenate([held, *parts])), [], 0
+    return _distinct(np.concatenate([held, *parts]))
 
 
 _ZSTD = pa.Codec("zstd", 1)
@@ -558,7 +585,7 @@ def scores(df: DataFrame, key: str = "doc_id", text: str = "text", held: str = "
         t = _unpack(left.column("rows")[0].as_py())
         logs = np.concatenate([_unpress(r["logs"], r["n"], np.float32) for r in sorted(right.to_pylist(), key=lambda r: r["first"])])
         out = []
-        for lo, hi, buf, offs, b, score in _sums(t, asked(t, depth)[0], logs, depth):
+        for lo, hi, buf, offs, b, score in _sums(t, grams(t, depth), logs, depth):
             w = Words(buf, offs)
             n = hi - lo
             doc = np.repeat(np.arange(n), w.count)
