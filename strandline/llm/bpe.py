@@ -3,6 +3,9 @@
 The pre-tokens of a chunk of texts are found and hashed with numpy; only pre-tokens that this worker has not seen
 lately reach the tokenizer. Texts with characters whose class differs between Unicode versions, or with the literal of
 an added token, go to the tokenizer whole. The ids equal ``Tokenizer.encode(text, add_special_tokens=False)``.
+
+Defined cases: an empty text has no ids, and no texts give none; a text of any length is encoded whole; a worker keeps
+at most ``KEPT`` pre-tokens and then begins anew, which changes no ids; nulls are for the caller to replace.
 """
 
 from __future__ import annotations

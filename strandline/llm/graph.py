@@ -1,4 +1,9 @@
-"""Connected components of an edge table by alternating large-star and small-star rounds, all of it DataFrames."""
+"""Connected components of an edge table by alternating large-star and small-star rounds, all of it DataFrames.
+
+Defined cases: edges with a null end and loops are left out, so a node that has no other edge gives no row; repeated
+edges and both directions of one count once; an empty table gives no rows; other columns are ignored. Nodes may be of
+any type with an order; the root is the smallest node.
+"""
 
 from __future__ import annotations
 
