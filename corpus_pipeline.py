@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents. A
 stage reads what the stage before it kept, written and read again, so each stands on stored rows.
+
+Defined cases: a document with a null or empty text fails the plain rules, so only rows with words come to the later
+stages, which would take them too: line dedup passes them, the join links them with nothing, mixing takes them once and
+packing gives the end id. A null id or source is as good as another; repeated rows are judged alike by the rules and
+the line dedup, and the join keeps one of them. Without labels every line is content. An empty table gives no rows.
 """
 
 from __future__ import annotations
