@@ -45,3 +45,24 @@ def test_stages_by_brute_force(spark, tmp_path):
             assert o == at
             at += n
         assert at <= 1024
+
+
+def test_edges(spark, tmp_path):
+    """Nulls in every column, empty texts, repeated rows, clashing names, no labels; and no rows at all."""
+    import random
+
+    r = random.Random(2)
+    prose = lambda: ". ".join(" ".join(f"w{r.randrange(4000)}" for _ in range(12)) for _ in range(9)) + "."
+    own, copy = prose(), prose()
+    rows = [(0, own, "en", "a", 1, 5, 6), (1, copy, None, None, None, None, None), (2, copy, "en", "a", 3, 1, 1), (2, copy, "en", "a", 3, 1, 1), (3, None, "en", "a", 0, 1, 1), (4, "", "en", "b", 0, 1, 1), (None, prose(), "en", "b", 2, 1, 1)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, _d int, _SA int"
+    for name, data in (("some", rows), ("none", [])):
+        spark.createDataFrame(data, schema).write.parquet(str(tmp_path / name / "documents.parquet"))
+        spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / name / "labels.parquet"))
+        docs = spark.read.parquet(str(tmp_path / name / "documents.parquet"))
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, docs, str(tmp_path / name))
+            assert out.columns == docs.columns
+        got = corpus_pipeline.run(spark, str(tmp_path / name)).collect()
+        ids = {x.doc_id for x in got}
+        assert ids == ({0, 1, None} if data else set())
