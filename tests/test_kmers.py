@@ -283,3 +283,68 @@ def test_cli_counts(spark, tmp_path):
     p.write_text(">t\nACGTACGTACGT\n")
     assert cli.main([str(p), "5", str(tmp_path / "out")]) == 0
     assert sorted(r.value for r in spark.read.text(str(tmp_path / "out")).collect()) == ["ACGTA\t4", "CGTAC\t4"]
+
+
+def sent(df):
+    """Bytes that the one shuffle of a frame wrote."""
+    df.collect()
+    plan, found = df._jdf.queryExecution().executedPlan(), []
+
+    def walk(node):
+        kind = node.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec":
+            return walk(node.executedPlan())
+        if kind.endswith("QueryStageExec"):
+            return walk(node.plan())
+        if node.metrics().contains("shuffleBytesWritten"):
+            found.append(node.metrics().apply("shuffleBytesWritten").value())
+        below = node.children()
+        for i in range(below.size()):
+            walk(below.apply(i))
+
+    walk(plan)
+    assert len(found) == 1
+    return found[0]
+
+
+def long_text(seed, n=400_000):
+    return "".join(random.Random(seed).choices("ACGT", k=n))
+
+
+@pytest.mark.parametrize("k,order", [(127, "lex")])
+def test_shuffle_in_proportion_to_bases(spark, k, order):
+    """A window sends less than two bytes, whatever k is, and the counts hold."""
+    text = long_text(k)
+    df = C.count_kmers(frame(spark, [text, text[:9000]]), k, order, partitions=3)
+    assert 0 < sent(df) < 2 * len(text)
+    assert {r.kmer: r["count"] for r in df.collect()} == Counter(canon(w, order) for s in (text, text[:9000]) for w in words(s, k))
+
+
+@pytest.mark.parametrize("k", [21, 31, 32, 33, 64, 127])
+def test_stretches(spark, k, monkeypatch):
+    """One word for a long run, periods, copies of texts, both strands, and a part that is merged in several passes."""
+    r = random.Random(k)
+    text = "".join(r.choices("ACGT", k=900))
+    seqs = ["A" * 3000, "ACGGT" * 500, "AC" * 700 + "N" + "GT" * 300, text, text, rc(text), text[::-1], "a" * (k - 1), "acg" * k]
+    for merge, parts in ((1 << 20, (1, 2)), (300, (1, 1)), (50, (4, 4))):
+        monkeypatch.setattr(packed, "MERGE", merge)
+        monkeypatch.setattr(packed, "STEP", 100)
+        monkeypatch.setattr(packed, "PARTS", parts)
+        for order in dna.ORDERS:
+            assert counts(packed.count_packed(frame(spark, seqs), k, order=order, spread=3, chunk=401)) == Counter(canon(w, order) for s in seqs for w in words(s, k))
+        want = {}
+        for s in seqs:
+            for w in words(s, k):
+                word, tag = v4(w)
+                want.setdefault(word, [0] * 4)[("I", "R", "C", "RC").index(tag)] += 1
+        assert {x.class_kmer: list(x)[1:] for x in packed.count_classes_packed(frame(spark, seqs), k).collect()} == want
+
+
+def test_merge_of_words_with_one_hash(monkeypatch):
+    r = np.random.default_rng(1)
+    lanes = [r.integers(0, 3, 500).astype(np.uint64) for _ in range(3)]
+    want = Counter(zip(*(x.tolist() for x in lanes)))
+    monkeypatch.setattr(packed, "_hash", lambda lanes, shift=0: lanes[0] << np.uint64(2))
+    for tagged in (False, True):
+        found, n = packed._merge(lanes, None, tagged)
+        assert dict(zip(zip(*(x.tolist() for x in found)), n.tolist())) == want and len(n) == len(want)
