@@ -348,3 +348,8 @@ def test_merge_of_words_with_one_hash(monkeypatch):
     for tagged in (False, True):
         found, n = packed._merge(lanes, None, tagged)
         assert dict(zip(zip(*(x.tolist() for x in found)), n.tolist())) == want and len(n) == len(want)
+
+
+def test_shuffle_of_classes_in_proportion_to_bases(spark):
+    text = long_text(40)
+    assert 0 < sent(C.count_classes(frame(spark, [text]), 40, partitions=3)) < 3 * len(text)
