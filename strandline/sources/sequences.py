@@ -159,6 +159,127 @@ def read_fastq_streamed(spark: SparkSession, paths: list[str], rows: int = 20_00
     return spark.read.format("fastq").option("paths", ",".join(paths)).option("rows", rows).load()
 
 
+def _bases(buf, head: bool):
+    """The sequence in bytes of FASTA, every other byte but ACGTacgt and each '>' as an N, and whether a header is open after them; ``head``: one is before them."""
+    import numpy as np
+
+    mark = np.flatnonzero((buf == 62) | (buf == 10))
+    heads = buf[mark] == 62
+    size = np.diff(np.concatenate([[0], mark, [len(buf)]]))
+    table = np.full(256, 78, np.uint8)
+    for c in b"ACGTacgt":
+        table[c] = c
+    keep = np.repeat(~np.concatenate([[head], heads]), size)
+    keep[mark] = heads
+    return table[buf[keep]], bool(heads[-1]) if len(heads) else head
+
+
+class _Stretch(InputPartition):
+    def __init__(self, path: str, lo: int, hi: int | None):
+        self.path, self.lo, self.hi = path, lo, hi
+
+
+class _FastaReader(DataSourceReader):
+    def __init__(self, paths: list[str], k: int, split: int, block: int = _BLOCK, chunk: int = 1 << 16):
+        self.paths, self.k, self.split, self.block, self.chunk = paths, k, split, block, chunk
+
+    def partitions(self) -> list[InputPartition]:
+        from pyarrow import fs
+
+        out = []
+        for p in self.paths:
+            system, name = fs.FileSystem.from_uri(p)
+            size = system.get_file_info(name).size
+            out += [_Stretch(p, 0, None)] if name.endswith(".gz") else [_Stretch(p, lo, min(lo + self.split, size)) for lo in range(0, size, self.split)]
+        return out
+
+    def _in_head(self, file, lo: int) -> bool:
+        """Whether byte ``lo`` is in a header: after a '>' and no line feed. What is before the first '>' counts as one, as in ``read_fasta``."""
+        while lo:
+            size = min(lo, 1 << 16)
+            file.seek(lo - size)
+            before = file.read(size)
+            at = max(before.rfind(b">"), before.rfind(b"\n"))
+            if at >= 0:
+                return before[at] == 62
+            lo -= size
+        return True
+
+    def _stream(self, partition: _Stretch) -> Iterator:
+        """The bases of the part and k - 1 more, block by block."""
+        import gzip
+
+        import numpy as np
+        from pyarrow import fs
+
+        system, name = fs.FileSystem.from_uri(partition.path)
+        if partition.hi is None:
+            file, head, left = gzip.GzipFile(fileobj=system.open_input_stream(name, compression=None)), True, None
+        else:
+            file = system.open_input_file(name)
+            head, left = self._in_head(file, partition.lo), partition.hi - partition.lo
+            file.seek(partition.lo)
+        while left is None or left:
+            data = file.read(self.block if left is None else min(self.block, left))
+            if not data:
+                return
+            left = None if left is None else left - len(data)
+            bases, head = _bases(np.frombuffer(data, np.uint8), head)
+            yield bases
+        more = self.k - 1
+        while more:
+            data = file.read(min(self.block, 1 << 12))
+            if not data:
+                return
+            bases, head = _bases(np.frombuffer(data, np.uint8), head)
+            bases = bases[:more]
+            more -= len(bases)
+            yield bases
+            if 78 in bases:  # no window goes on beyond it
+                return
+
+    def read(self, partition: _Stretch) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        rest = np.zeros(0, np.uint8)
+        for bases in self._stream(partition):
+            rest = np.concatenate([rest, bases])
+            n = len(rest) - self.k + 1
+            if n > 0:
+                pieces = [rest[lo : min(lo + self.chunk, n) + self.k - 1].tobytes() for lo in range(0, n, self.chunk)]
+                yield pa.RecordBatch.from_arrays([pa.array(pieces, pa.binary()).cast(pa.string())], names=["seq"])
+                rest = rest[n:]
+
+
+class FastaPieces(DataSource):
+    """``spark.read.format("fasta_pieces")`` with options ``paths`` (comma-separated), ``k`` and ``split`` (bytes of a task)."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "fasta_pieces"
+
+    def schema(self) -> str:
+        return "seq string"
+
+    def reader(self, schema) -> DataSourceReader:
+        return _FastaReader([p for p in self.options["paths"].split(",") if p], int(self.options["k"]), int(self.options["split"]))
+
+
+def read_windows(spark: SparkSession, path: str, k: int, format: str, split: int) -> tuple[DataFrame, bool]:
+    """(seq): sequences with the windows of k bases of a file, each in one of them, and whether tasks read ``split`` bytes of plain files.
+
+    FASTA is read block by block: a record or a line of any length is held nowhere as a whole. Where pyarrow can't open the
+    store, the records are those of ``read_sequences``, and one is one row.
+    """
+    files = spark.read.text(path).inputFiles() if format == "fasta" else []
+    if not files or not all(_streams(f) for f in files):
+        return read_sequences(spark, path, format), False
+    spark.dataSource.register(FastaPieces)
+    rows = spark.read.format("fasta_pieces").option("paths", ",".join(f.replace(",", "%2C") for f in files)).option("k", k).option("split", split).load()
+    return rows, not any(f.endswith(".gz") for f in files)
+
+
 def read_sequences(spark: SparkSession, path: str, format: str = "auto") -> DataFrame:
     """Reads either format; 'auto' looks at the first byte. Gzip goes by the suffix .gz.
 

@@ -353,3 +353,32 @@ def test_merge_of_words_with_one_hash(monkeypatch):
 def test_shuffle_of_classes_in_proportion_to_bases(spark):
     text = long_text(40)
     assert 0 < sent(C.count_classes(frame(spark, [text]), 40, partitions=3)) < 3 * len(text)
+
+
+def test_fasta_is_read_block_by_block(spark, tmp_path, monkeypatch):
+    """One record over many tasks, plain, and a gzip file: no row holds it."""
+    text = long_text(4, 300_000)
+    lines = "\n".join(text[i : i + 70] for i in range(0, len(text), 70))
+    want = Counter(canon(w) for w in words(text, 21))
+    monkeypatch.setattr(S, "read_fasta", None)  # holds a record as one row
+    for name, data in (("a b,c.fa", f">all\n{lines}\n"), ("one.fa", f">all\n{text}"), ("z.fa.gz", f">all\n{lines}\n")):
+        p = tmp_path / name
+        p.write_bytes(gzip.compress(data.encode()) if name.endswith(".gz") else data.encode())
+        assert counts(count_file(spark, str(p), 21, spread=9)) == want
+    rows, dealt = S.read_windows(spark, str(tmp_path / "one.fa"), 21, "fasta", 1 << 16)
+    assert dealt and rows.rdd.getNumPartitions() == 5 and max(len(r.seq) for r in rows.collect()) == 1 << 16
+
+
+def test_fasta_stretches(tmp_path):
+    """Any split, block and chunk gives each window of the records once."""
+    r = random.Random(5)
+    for _ in range(60):
+        data = b"".join(r.choice([b"ACGTac", b"ACGTTGCA" * 5, b"\n", b"\n", b">", b">h x", b"\r\n", b"N", b"\xff"]) for _ in range(r.randrange(50)))
+        records = [x.partition(b"\n")[2].replace(b"\n", b"").decode("latin-1") for x in data.split(b">")]
+        for name in ("a.fa", "a.fa.gz"):
+            (tmp_path / name).write_bytes(gzip.compress(data) if name.endswith(".gz") else data)
+            for k in (1, 3, 7):
+                want = Counter(w for s in records for w in words(s.replace("\xff", "N"), k))
+                for split, block, chunk in ((1, 3, 2), (5, 1, 100), (13, 7, 5), (1000, 1000, 1000)):
+                    reader = S._FastaReader([(tmp_path / name).as_uri()], k, split, block, chunk)
+                    assert Counter(w for p in reader.partitions() for b in reader.read(p) for s in b.column(0).to_pylist() for w in words(s, k)) == want
