@@ -172,7 +172,11 @@ def _hash(lanes: list[np.ndarray], shift: int = 0) -> np.ndarray:
 
 
 def _merge(lanes: list[np.ndarray], n: np.ndarray | None, tagged: bool = False) -> tuple[list[np.ndarray], np.ndarray]:
-    """The distinct rows, and the sums of their counts (None: one each); rows that differ only in the last lane, if it is a tag, follow each other."""
+    """The distinct rows, and the sums of their counts (None: one each); rows that differ only in the last lane, if it is a tag, follow each other.
+
+    Words of several lanes stay in the order in which they first appear: those of one stretch share all bases but one with
+    their neighbours, and a file of them takes a third or less of the bytes that it takes in the order of hashes.
+    """
     if len(lanes) == 1 and n is None:
         keys, n = np.unique(lanes[0], return_counts=True)
         return [keys], n
@@ -192,7 +196,19 @@ def _merge(lanes: list[np.ndarray], n: np.ndarray | None, tagged: bool = False)
             new = _changes(x[order] for x in lanes)
     first = np.flatnonzero(new)
     total = np.diff(np.append(first, len(order))) if n is None else np.add.reduceat(n[order], first)
-    first = order[first]
+    first = np.minimum.reduceat(order, first)
+    if len(lanes) > 1:
+        seat = np.full(len(order), -1)
+        if tagged:
+            begin = np.flatnonzero(_changes(x[first] for x in words))
+            size = np.diff(np.append(begin, len(first)))
+            seat[np.minimum.reduceat(first, begin)] = np.arange(len(begin))
+            seat = seat[seat >= 0]
+            seat = np.repeat(begin[seat], size[seat]) + _ramp(size[seat])
+        else:
+            seat[first] = np.arange(len(first))
+            seat = seat[seat >= 0]
+        first, total = first[seat], total[seat]
     return [x[first] for x in lanes], total.astype(np.int64)
 
 

@@ -320,6 +320,20 @@ def test_shuffle_in_proportion_to_bases(spark, k, order):
     assert {r.kmer: r["count"] for r in df.collect()} == Counter(canon(w, order) for s in (text, text[:9000]) for w in words(s, k))
 
 
+def written(df, path):
+    """Bytes and rows of a result's files."""
+    df.write.parquet(str(path))
+    return sum(p.stat().st_size for p in path.glob("*.parquet")), df.count()
+
+
+@pytest.mark.parametrize("k", [96])
+def test_neighbours_share_bases_in_the_result(spark, tmp_path, k):
+    """Words come in the order of the text, so files of them take few bytes a row; in the order of hashes half a byte a base."""
+    text = long_text(k)
+    size, rows = written(C.count_kmers(frame(spark, [text, text[:9000]]), k, partitions=3), tmp_path / "out")
+    assert rows == len({canon(w) for w in words(text, k)}) and size < 20 * rows
+
+
 @pytest.mark.parametrize("k", [21, 31, 32, 33, 64, 127])
 def test_stretches(spark, k, monkeypatch):
     """One word for a long run, periods, copies of texts, both strands, and a part that is merged in several passes."""
