@@ -38,8 +38,8 @@ STRETCHED, CORE = 21, 19
 LONGEST = 255
 #: Words that a reducer merges at once, if they are of several parts.
 MERGE = 1 << 20
-#: Windows whose words are taken out of stretches at once.
-STEP = 1 << 18
+#: Windows whose words are taken out of stretches at once: few enough for a core's cache.
+STEP = 1 << 15
 #: Rows of a result's batch.
 OUT = 1 << 18
 #: Parts into which words are dealt: one for about so many bytes of input, between these bounds.
@@ -53,6 +53,9 @@ _CODE = np.full(256, 4, np.uint8)
 for _i, _c in enumerate(b"ACGT"):
     _CODE[_c] = _CODE[_c + 32] = _i
 _LETTER = np.frombuffer(b"ACGT", np.uint8)
+_FOUR = np.stack([_LETTER[np.arange(256) >> s & 3] for s in (6, 4, 2, 0)], 1)
+#: The letters of two bytes, the lower one first: each byte read from its first base, and from its last.
+_EIGHT = [np.concatenate([np.tile(x, (256, 1)), np.repeat(x, 256, 0)], 1).view(np.uint64).ravel() for x in (_FOUR, np.ascontiguousarray(_FOUR[:, ::-1]))]
 
 
 def _join(arr: pa.Array) -> np.ndarray:
@@ -148,14 +151,11 @@ def spell(blocks: list[np.ndarray], k: int, keys: bool = True) -> pa.Array:
     """The words of blocks."""
     n = len(blocks[0])
     out = np.empty((n, k), np.uint8)
-    four = np.stack([_LETTER[np.arange(256) >> s & 3] for s in (6, 4, 2, 0)], 1)
-    if keys:
-        four = np.ascontiguousarray(four[:, ::-1])
-    four = four.view(np.uint32).ravel()
+    eight = _EIGHT[keys]
     for b, x in enumerate(blocks):
         size = min(32, k - 32 * b)
         x = np.ascontiguousarray(x if keys else (x << U(64 - 2 * size)).byteswap())
-        out[:, 32 * b : 32 * b + size] = four[x.view(np.uint8)].view(np.uint8).reshape(n, 32)[:, :size]
+        out[:, 32 * b : 32 * b + size] = eight[x.view(np.uint16)].view(np.uint8).reshape(n, 32)[:, :size]
     return pa.StringArray.from_buffers(n, pa.py_buffer((np.arange(n + 1) * k).astype(np.int32)), pa.py_buffer(out))
 
 
@@ -473,12 +473,13 @@ def _counted(df: DataFrame, k: int, seq: str, four: bool, order: str, chunk: int
                 many = None if once else np.repeat(times[lo:hi], size[lo:hi])
                 if passes > 1:
                     here = np.flatnonzero(_hash(some[:n_words], shift) % U(passes) == nth)
-                    some, many = [x[here] for x in some], many if once else many[here]
-                if passes > 1 or not once:
-                    some, many = _merge(some, many, tagged)
+                    some, many = _merge([x[here] for x in some], many if once else many[here], tagged)
                 found.append(some)
                 n.append(many)
-            yield from out(*_merge([np.concatenate(x) for x in zip(*found)], None if n[0] is None else np.concatenate(n), tagged))
+            del own, back, some, many
+            found, n = [np.concatenate(x) for x in zip(*found)], None if n[0] is None else np.concatenate(n)
+            found, n = _merge(found, n, tagged)
+            yield from out(found, n)
 
     def out(found: list[np.ndarray], n: np.ndarray) -> Iterator[pa.RecordBatch]:
         if not four:

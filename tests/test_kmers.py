@@ -334,6 +334,12 @@ def test_neighbours_share_bases_in_the_result(spark, tmp_path, k):
     assert rows == len({canon(w) for w in words(text, k)}) and size < 20 * rows
 
 
+def test_neighbours_share_bases_in_the_result_of_classes(spark, tmp_path):
+    text = long_text(40)
+    size, rows = written(C.count_classes(frame(spark, [text, text[:9000]]), 40, partitions=3), tmp_path / "out")
+    assert rows == len({v4(w)[0] for w in words(text, 40)}) and size < 15 * rows
+
+
 @pytest.mark.parametrize("k", [21, 31, 32, 33, 64, 127])
 def test_stretches(spark, k, monkeypatch):
     """One word for a long run, periods, copies of texts, both strands, and a part that is merged in several passes."""
