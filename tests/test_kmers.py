@@ -326,7 +326,7 @@ def written(df, path):
     return sum(p.stat().st_size for p in path.glob("*.parquet")), df.count()
 
 
-@pytest.mark.parametrize("k", [96, 127, 65])
+@pytest.mark.parametrize("k", [96, 127, 65, 97])
 def test_neighbours_share_bases_in_the_result(spark, tmp_path, k):
     """Words come in the order of the text, so files of them take few bytes a row; in the order of hashes half a byte a base."""
     text = long_text(k)
