@@ -7,13 +7,13 @@ order of keys is the reference order; ``order="lex"`` above 32 bases holds block
 Up to ``DENSE`` bases a task counts into one array over all words. Above it, below ``STRETCHED`` bases, each slice of
 windows is sorted and its distinct words go out with their counts. What goes out is a row per part, not per word: the
 words are dealt into parts by a hash and each part of a slice is one block of bytes. A reducer merges whole parts, as
-many at once as fill ``MERGE`` words, and spells each distinct word once.
+many at once as fill ``MERGE`` numbers, and spells each distinct word once.
 
 From ``STRETCHED`` bases on no words go out but stretches: the bases of consecutive windows that have the same least
 hash of m bases, four to a byte. That hash is the same for a word and its images, so all windows of a word or class are
 in one part. Equal stretches of a slice go out once with their number. So the one shuffle carries one byte and a half a
 window or less, whatever k is; reducers take the words out of the stretches, those of a part in several passes if it has
-more than ``MERGE`` windows twice over, each for the words of one remainder of their hashes.
+more than ``MERGE`` windows twice over (fewer if a word takes three numbers or more), each for the words of one remainder of their hashes.
 """
 
 from __future__ import annotations
@@ -36,11 +36,11 @@ DENSE = 11
 STRETCHED, CORE = 21, 19
 #: Windows of a stretch at most: their number is one byte.
 LONGEST = 255
-#: Words that a reducer merges at once, if they are of several parts.
+#: Numbers of 8 bytes that the words take that a reducer merges at once, if they are of several parts.
 MERGE = 1 << 20
 #: Windows whose words are taken out of stretches at once: few enough for a core's cache.
 STEP = 1 << 15
-#: Rows of a result's batch.
+#: Rows of a result's batch times the numbers of a word.
 OUT = 1 << 18
 #: Parts into which words are dealt: one for about so many bytes of input, between these bounds.
 PART_BYTES, PARTS = 1 << 20, (1 << 8, 1 << 18)
@@ -392,6 +392,7 @@ def _counted(df: DataFrame, k: int, seq: str, four: bool, order: str, chunk: int
     lanes_of = n_words + (four and k >= 32)
     shift, tagged = 2 if four and k < 32 else 0, four and k >= 32
     step = SLICE // 2 if k >= STRETCHED else max(1, SLICE // n_words)
+    hold, most, batch = max(1, MERGE // lanes_of), max(1, 2 * MERGE // -(-lanes_of // 2)), OUT // lanes_of
     rows = cut(df, k, seq, chunk).repartition(spread) if spread else df.select(F.col(seq).alias("seq"))
     size = _size(df) if size is None else size
     parts, stretched = _parts(size), k >= STRETCHED
@@ -462,7 +463,7 @@ def _counted(df: DataFrame, k: int, seq: str, four: bool, order: str, chunk: int
         times = np.concatenate([numbers(c, len(z.as_buffer())) for _, z, c in held])
         end, length = np.cumsum(size), _bytes(size, k)
         start = 4 * (np.cumsum(length) - length)
-        passes = max(1, int(end[-1]) // (2 * MERGE))
+        passes = max(1, int(end[-1]) // most)
         cuts = np.unique(np.append(np.searchsorted(end, np.arange(0, end[-1], STEP)), len(size))).tolist()
         once = bool((times == 1).all())
         for nth in range(passes):
@@ -483,8 +484,8 @@ def _counted(df: DataFrame, k: int, seq: str, four: bool, order: str, chunk: int
 
     def out(found: list[np.ndarray], n: np.ndarray) -> Iterator[pa.RecordBatch]:
         if not four:
-            for lo in range(0, len(n), OUT):
-                yield pa.RecordBatch.from_arrays([spell([x[lo : lo + OUT] for x in found], k, keys), pa.array(n[lo : lo + OUT])], names=["kmer", "count"])
+            for lo in range(0, len(n), batch):
+                yield pa.RecordBatch.from_arrays([spell([x[lo : lo + batch] for x in found], k, keys), pa.array(n[lo : lo + batch])], names=["kmer", "count"])
             return
         tag = (found[0] & U(3) if k < 32 else found[-1]).astype(np.int64)
         blocks = [found[0] >> U(2)] if k < 32 else found[:-1]
@@ -493,15 +494,15 @@ def _counted(df: DataFrame, k: int, seq: str, four: bool, order: str, chunk: int
         counters = np.zeros((int(new.sum()), 4), np.int64)
         counters[at, tag] = n
         blocks = [x[new] for x in blocks]
-        for lo in range(0, len(counters), OUT):
-            each = [pa.array(np.ascontiguousarray(counters[lo : lo + OUT, t])) for t in range(4)]
-            yield pa.RecordBatch.from_arrays([spell([x[lo : lo + OUT] for x in blocks], k), *each], names=["class_kmer", *(f"count_{t}" for t in TAGS)])
+        for lo in range(0, len(counters), batch):
+            each = [pa.array(np.ascontiguousarray(counters[lo : lo + batch, t])) for t in range(4)]
+            yield pa.RecordBatch.from_arrays([spell([x[lo : lo + batch] for x in blocks], k), *each], names=["class_kmer", *(f"count_{t}" for t in TAGS)])
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size, last = [], 0, None
         for b in batches:
             for part, *x in zip(b.column(0).to_pylist(), *b.columns[1:]):
-                if part != last and size >= MERGE:
+                if part != last and size >= hold:
                     yield from (taken if stretched else merged)(held)
                     held, size = [], 0
                 held.append(x)
