@@ -23,7 +23,7 @@ from __future__ import annotations
 
 import io
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -48,6 +48,8 @@ DEPTH = 6
 PACK = 1 << 24
 #: Positions handled at once.
 WINDOW = 1 << 19
+#: Ranges of a chunk's grams that are merged apart.
+SHARES = 8
 #: Asked grams in a range, and one of how many is looked at to find the bounds.
 RANGE, STEP = 400_000, 4096
 
@@ -266,25 +268,43 @@ def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
     return keys[first], np.add.reduceat(n, first) if len(keys) else n
 
 
-def asked(t: pa.Table, depth: int) -> tuple[np.ndarray, np.ndarray]:
+def _gathered(runs: Iterator[tuple], merge: Callable[[list[tuple]], tuple]) -> Iterator[tuple]:
+    """Runs with sorted keys in front as one, in SHARES ranges of keys one after the other: merging copies only one of them at a time."""
+    bounds, held, waiting = None, [], [0] * SHARES
+    for run in runs:
+        keys = run[0]
+        if bounds is None and len(keys):
+            bounds, held = keys[np.arange(1, SHARES) * len(keys) // SHARES], [[] for _ in range(SHARES)]
+        cut = [0, *np.searchsorted(keys, bounds).tolist(), len(keys)] if len(keys) else []
+        for i, (lo, hi) in enumerate(zip(cut, cut[1:])):
+            if lo == hi:
+                continue
+            held[i].append(tuple(x[lo:hi].copy() for x in run))
+            waiting[i] += hi - lo
+            if waiting[i] > 2 * WINDOW // SHARES:
+                held[i], waiting[i] = [merge(held[i])], 0
+    while held:
+        if parts := held.pop(0):
+            yield merge(parts)
+
+
+def asked(t: pa.Table, depth: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """The grams of a chunk's texts, in order, and how often each is in training texts."""
-    held, waiting = (np.zeros(0, np.int64), np.zeros(0, np.int64)), 0
-    parts = []
-    for lo, hi, buf, offs, b in _texts(t):
-        x, first = _padded(buf, offs, depth)
-        mark = np.zeros(len(x) + depth, np.int8)  # 2: no place to score, 1: held out
-        out = np.repeat(b.column(2).slice(lo, hi - lo).to_numpy(zero_copy_only=False).astype(np.int8), np.diff(first))
-        mark[depth:] = out
-        for d in range(1, depth + 1):
-            mark[first - d] = 2
-        for at, k in _windows(x, depth):
-            m = mark[at : at + len(k)]
-            v, n = np.unique((k << 1 | m)[m < 2], return_counts=True)
-            parts.append((v >> 1, np.where(v & 1, 0, n)))
-            waiting += len(v)
-        if waiting > 2 * WINDOW:
-            held, parts, waiting = _merged([held, *parts]), [], 0
-    return _merged([held, *parts])
+
+    def runs() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for lo, hi, buf, offs, b in _texts(t):
+            x, first = _padded(buf, offs, depth)
+            mark = np.zeros(len(x) + depth, np.int8)  # 2: no place to score, 1: held out
+            out = np.repeat(b.column(2).slice(lo, hi - lo).to_numpy(zero_copy_only=False).astype(np.int8), np.diff(first))
+            mark[depth:] = out
+            for d in range(1, depth + 1):
+                mark[first - d] = 2
+            for at, k in _windows(x, depth):
+                m = mark[at : at + len(k)]
+                v, n = np.unique((k << 1 | m)[m < 2], return_counts=True)
+                yield v >> 1, np.where(v & 1, 0, n)
+
+    return _gathered(runs(), _merged)
 
 
 def _distinct(keys: np.ndarray) -> np.ndarray:
@@ -295,18 +315,17 @@ def _distinct(keys: np.ndarray) -> np.ndarray:
 
 def grams(t: pa.Table, depth: int) -> np.ndarray:
     """The grams of a chunk's texts, in order."""
-    held, parts, waiting = np.zeros(0, np.int64), [], 0
-    for lo, hi, buf, offs, _ in _texts(t):
-        x, first = _padded(buf, offs, depth)
-        real = np.ones(len(x) + depth, bool)
-        for d in range(1, depth + 1):
-            real[first - d] = False
-        for at, k in _windows(x, depth):
-            parts.append(_distinct(k[real[at : at + len(k)]]))
-            waiting += len(parts[-1])
-        if waiting > 2 * WINDOW:
-            held, parts, waiting = _distinct(np.concatenate([held, *parts])), [], 0
-    return _distinct(np.concatenate([held, *parts]))
+
+    def runs() -> Iterator[tuple[np.ndarray]]:
+        for lo, hi, buf, offs, _ in _texts(t):
+            x, first = _padded(buf, offs, depth)
+            real = np.ones(len(x) + depth, bool)
+            for d in range(1, depth + 1):
+                real[first - d] = False
+            for at, k in _windows(x, depth):
+                yield (_distinct(k[real[at : at + len(k)]]),)
+
+    return np.concatenate([np.zeros(0, np.int64), *(k for k, in _gathered(runs(), lambda parts: (_distinct(np.concatenate([k for k, in parts])),)))])
 
 
 _ZSTD = pa.Codec("zstd", 1)
@@ -354,9 +373,7 @@ def _ask(chunks: DataFrame, depth: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for chunk, data in zip(b.column(0).to_pylist(), b.column(1)):
-                keys, n = asked(_unpack(data.as_py()), depth)
-                for lo in range(0, len(keys), WINDOW):
-                    k, c = keys[lo : lo + WINDOW], n[lo : lo + WINDOW]
+                for k, c in ((k[lo : lo + WINDOW], n[lo : lo + WINDOW]) for k, n in asked(_unpack(data.as_py()), depth) for lo in range(0, len(k), WINDOW)):
                     yield pa.RecordBatch.from_pydict({"chunk": [chunk], "first": [int(k[0])], "n": [len(k)], "keys": [_press(np.diff(k, prepend=k[0]))], "counts": [_press(c)], "sample": [k[::STEP].tolist()]})
 
     return chunks.mapInArrow(run, "chunk long, first long, n long, keys binary, counts binary, sample array<long>")

@@ -1,9 +1,12 @@
 import math
+import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from strandline.llm import ctw
@@ -131,3 +134,29 @@ def test_deep_tree_in_ranges(spark, monkeypatch, size):
     assert len(got) == len(texts)
     for i, t in enumerate(texts):
         assert got[i] == pytest.approx(deep(train, t or "", ctw.DEPTH), rel=1e-5)
+
+
+def test_memory_of_a_chunk_that_asks():
+    """Grams are merged range by range: nearly 4 million different ones take less than 40 bytes each, all copies included."""
+    text = "".join(random.Random(1).choices("abcdefghijklmnop", k=4_000_000))
+    t = pa.table({"k": [1], "text": [text], "held_out": [False]})
+    tracemalloc.start()
+    for _ in ctw.asked(t, ctw.DEPTH):
+        pass
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40 * len(text)
+
+
+def test_grams_in_ranges_by_definition(monkeypatch):
+    monkeypatch.setattr(ctw, "WINDOW", 16)
+    texts = ["abracadabra", None, "", "banana bandana " * 9, "été"]
+    t = pa.table({"k": range(5), "text": pa.array(texts, pa.string()), "held_out": [i == 3 for i in range(5)]})
+    want = Counter()
+    for i, x in enumerate(texts):
+        data = b" " * 6 + (x or "").encode() + b"\xff"
+        for at in range(6, len(data)):
+            want[int.from_bytes(data[at - 6 : at][::-1] + data[at : at + 1], "big")] += i != 3
+    keys, n = (np.concatenate(x).tolist() for x in zip(*ctw.asked(t, 6)))
+    assert (keys, n) == (sorted(want), [want[k] for k in sorted(want)])
+    assert ctw.grams(t, 6).tolist() == keys
