@@ -1,5 +1,8 @@
 """Connected components of an edge table by alternating large-star and small-star rounds, all of it DataFrames.
 
+A round shuffles and writes several times however few edges there are, so the driver joins up to ``FEW`` edges of whole
+numbers by itself, 16 bytes each; the result is the same.
+
 Defined cases: edges with a null end and loops are left out, so a node that has no other edge gives no row; repeated
 edges and both directions of one count once; an empty table gives no rows; other columns are ignored. Nodes may be of
 any type with an order; the root is the smallest node.
@@ -7,20 +10,42 @@ any type with an order; the root is the smallest node.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Stored
 
+#: Edges that the driver joins; more are joined in rounds on the cluster.
+FEW = 1 << 18
+
 
 def _checksum(edges: DataFrame) -> tuple:
     r = edges.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long")), F.sum(F.hash("v", "u").cast("decimal(20,0)") * 3)).first()
     return tuple(r)
 
 
+def _joined(u: np.ndarray, v: np.ndarray) -> pa.Table:
+    """(node, root) of edges in memory: roots of two ends go to the smaller one until both ends of each edge have the same."""
+    nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b, root = at[: len(u)], at[len(u) :], np.arange(len(nodes))
+    while (root[a] != root[b]).any():
+        np.minimum.at(root, np.maximum(root[a], root[b]), np.minimum(root[a], root[b]))
+        while (root[root] != root).any():
+            root = root[root]
+    return pa.table({"node": nodes, "root": nodes[root]})
+
+
 def components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
     """(node, root): each node that has an edge with the smallest node it can reach. Nulls and loops are left out."""
-    e = Stored(edges.select(F.col(u).alias("u"), F.col(v).alias("v")).where("u != v").distinct(), "edges")
+    given = Stored(edges.select(F.col(u).alias("u"), F.col(v).alias("v")).where("u != v"), "given")
+    if {f.dataType.simpleString() for f in given.df.schema} <= {"int", "bigint"} and given.df.count() <= FEW:
+        few = given.df.toArrow()
+        given.drop()
+        return edges.sparkSession.createDataFrame(_joined(few.column("u").to_numpy(), few.column("v").to_numpy()))
+    e = Stored(given.df.distinct(), "edges")
+    given.drop()
     before = None
     while True:
         # Large star: larger neighbours go to the smallest neighbour.

@@ -3,6 +3,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from strandline.llm import graph, ngramjoin
 
@@ -127,3 +128,24 @@ def test_many_rounds_and_long_texts(spark, monkeypatch):
     assert all(got[i + 100] == i for i in range(10, 30))
     kept = sorted(x.doc_id for x in ngramjoin.dedup(df, n=3, percent=90).collect())
     assert kept == [0, 4, 5, 6, 7, 8, *range(10, 30)]
+
+
+@pytest.mark.parametrize("few", [0, 1 << 18])
+@pytest.mark.parametrize("kind", ["long", "int", "string"])
+def test_graph_on_the_driver_and_in_rounds(spark, monkeypatch, few, kind):
+    monkeypatch.setattr(graph, "FEW", few)
+    pairs = [(i, i + 1) for i in range(20, 60)] + [(9, 5), (5, 9), (7, 9), (3, 3), (None, 4), (70, 61), (61, 90), (90, 60)]
+    df = spark.createDataFrame(pairs, "a long, b long").select(*(F.col(c).cast(kind) for c in "ab")).repartition(5)
+    got = {int(r.node): int(r.root) for r in graph.components(df, "a", "b").collect()}
+    assert got == {i: 20 for i in (*range(20, 62), 70, 90)} | {5: 5, 7: 5, 9: 5}
+    assert graph.components(df.limit(0), "a", "b").count() == 0
+
+
+def test_few_edges_take_few_jobs(spark):
+    """A path of 500 edges in some jobs, not some for each round."""
+    df = spark.range(500).selectExpr("id as a", "id + 1 as b").repartition(7)
+    spark.sparkContext.setJobGroup("few", "few")
+    got = graph.components(df, "a", "b").collect()
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(got) == 501 and {r.root for r in got} == {0}
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("few")) < 10
